@@ -7,6 +7,7 @@ documents and a very long document is only one more slice.  Null texts count as
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -81,7 +82,7 @@ def chunks(off: np.ndarray, limit: int = CHUNK_BYTES):
     """Slices (i, j) of whole documents, each of about `limit` bytes or one longer document."""
     i, n = 0, len(off) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
+        j = min(max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1), i + 32768)
         yield i, j
         i = j
 
@@ -167,3 +168,37 @@ def batches(it, chunk_bytes: int = CHUNK_BYTES):
         _, off = utf8(rb.column(rb.schema.get_field_index("text")))
         for i, j in chunks(off, chunk_bytes):
             yield rb.slice(i, j - i)
+
+
+ID_BITS = 1 << 23
+
+
+def id_test(ids: DataFrame, col: str):
+    """A map-side test for membership in ids[col], of fixed size (1 MB): never false for a member, rarely true for others.
+
+    It only spares shuffling rows that cannot join; whoever uses it joins exactly afterwards.  With very many ids the
+    test passes everything and the join alone decides.
+    """
+    h = F.pmod(F.xxhash64(F.col(col)), F.lit(ID_BITS)) + 1
+    got = (
+        ids.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
+    )
+    bits = np.zeros(ID_BITS // 8, np.uint8)
+    for r in got:
+        at = (r["part"] - 1) * 4096
+        bits[at : at + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def test(x: pd.Series) -> pd.Series:
+        v = x.to_numpy()
+        return pd.Series((shared.value[v >> 3] >> (v & 7).astype(np.uint8) & 1).astype(bool))
+
+    return lambda c: test(F.pmod(F.xxhash64(F.col(c)), F.lit(ID_BITS)))
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, col: str = "doc_id") -> DataFrame:
+    """docs whose id isn't in ids; only rows that may be in it are shuffled."""
+    marked = docs.withColumn("_maybe", id_test(ids, col)(col))
+    rest = marked.filter("_maybe").join(ids.select(F.col(col).alias("_gone")).distinct(), F.col(col) == F.col("_gone"), "left_anti")
+    return marked.filter("NOT _maybe").unionByName(rest).drop("_maybe")
