@@ -16,6 +16,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data spans of every document."""
+    from pantrylake.llm.pii import digest, find
+
+    return digest(find(table(spark, sf_dir, "documents")))
+
+
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
     from pantrylake.llm.near_dup import classes
