@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pantrylake.llm.common import table
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document, from its prefix counts."""
+    from pantrylake.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     from pantrylake.llm.language_id import identify
@@ -30,6 +37,13 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
 
 
+def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether they decode to it."""
+    from pantrylake.llm.piece_codec import encode
+
+    return encode(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item that occurs in it."""
     from pantrylake.llm.decontaminate import matches
