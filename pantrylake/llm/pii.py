@@ -244,7 +244,10 @@ def digest(found: DataFrame) -> DataFrame:
     def listing(c: str):
         return F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    def number(kind: str):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(k) for k in BASE]
     return found.select("doc_id", *counts, F.sha2(listing("base"), 256).alias("base_sha256"), listing("spans").alias("spans"))
 
 
