@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pantrylake.session import ship
+
 CHUNK_BYTES = 1 << 20
 #: The white space of every operator here: space and the bytes 9 to 13.
 SPACE = np.zeros(256, dtype=bool)
@@ -30,6 +32,7 @@ LANE = (_rng.integers(1, 1 << 63, 64, dtype=np.uint64) << np.uint64(1)) | np.uin
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -51,6 +51,13 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition rules on every document."""
+    from pantrylake.llm.repetition import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
