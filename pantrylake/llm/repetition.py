@@ -30,7 +30,7 @@ SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 @dataclass(frozen=True)
 class Config:
     min_words: int = 10
-    max_fraction: float = 0.3
+    max_fraction: float = 0.5
     max_repeat: int = 100
 
 
