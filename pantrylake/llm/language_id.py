@@ -195,7 +195,7 @@ def identify(docs: DataFrame, cfg: Config = Config(), keep: tuple[str, ...] = ()
                 cols, names = [*cols, text], [*names, "text"]
             yield pa.RecordBatch.from_arrays([*cols, *[rb.column(3 + k) for k in range(len(rest))]], names=[*names, *rest])
 
-    held = crc_mod("doc_id", 3) == 1
+    held = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
     return docs.select("doc_id", "text", held.alias("held_out"), *rest).mapInArrow(run, schema)
 
 
