@@ -16,6 +16,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages that occur more than once, and where."""
+    from pantrylake.llm.passages import repeats
+
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     from pantrylake.llm.language_id import identify
@@ -23,6 +30,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    from pantrylake.llm.quality import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     from pantrylake.llm.toxicity import score
