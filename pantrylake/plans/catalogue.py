@@ -1,47 +1,14 @@
-"""Catalogue of named queries over the test tables, each with its DuckDB counterpart."""
+"""All registered queries of the library's own operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pantrylake.plans import domain, quality, relational, text, vectors  # noqa: F401 - they register their queries
+from pantrylake.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def entity_with_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order with its lines as one ordered string; lines are aggregated before the join."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.count("*").alias("n_lines"),
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))),
-                lambda x: F.concat_ws(":", x.l_linenumber, x.l_partkey, x.l_suppkey),
-            ),
-            "|",
-        ).alias("line_text"),
-    )
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    return orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("line_text", F.lit("")).alias("line_text")
-    )
-
-
-ENTITY_WITH_LINES = """
-SELECT o_orderkey, o_custkey, o_orderstatus, coalesce(n_lines, 0) AS n_lines, coalesce(line_text, '') AS line_text
-FROM orders LEFT JOIN (
-  SELECT l_orderkey, count(*) AS n_lines,
-         string_agg(l_linenumber || ':' || l_partkey || ':' || l_suppkey, '|' ORDER BY l_linenumber, l_partkey, l_suppkey) AS line_text
-  FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey
-"""
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"entity_with_lines": entity_with_lines}
+def queries() -> dict:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"entity_with_lines": ENTITY_WITH_LINES}
+    return dict(ORACLES)
