@@ -75,7 +75,7 @@ def normal_name(c: Column) -> Column:
 
 def tag(c: Column) -> Column:
     """UPPER_CASE_TAG."""
-    return F.trim(F.lit("_"), F.regexp_replace(F.upper(c), "[^A-Z0-9]+", "_"))
+    return F.trim(F.regexp_replace(F.upper(c), "[^A-Z0-9]+", "_"), F.lit("_"))
 
 
 def has_term(c: Column, terms: list[str]) -> Column:
@@ -90,7 +90,7 @@ def replaced(c: Column, table: dict[str, str]) -> Column:
 
 
 def no_blanks(a: Column) -> Column:
-    return F.filter(F.transform(a, F.trim), lambda x: x != "")
+    return F.filter(F.transform(a, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def as_list(c: Column) -> Column:
@@ -107,7 +107,7 @@ def distinct_tags(a: Column, upper: bool = True) -> Column:
 
 
 def lines(c: Column) -> Column:
-    return F.transform(F.split(c, r"\r?\n"), F.trim)
+    return F.transform(F.split(c, r"\r?\n"), lambda x: F.trim(x))
 
 
 def first_line(c: Column) -> Column:
@@ -129,7 +129,7 @@ def section(c: Column, begins: list[str], ends: list[str]) -> Column:
 
 def sentences(c: Column, least: int = 12) -> Column:
     """Parts that end a sentence before a capital, of at least so many characters."""
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+(?=[A-Z])"), F.trim), lambda x: F.length(x) >= least)
+    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+(?=[A-Z])"), lambda x: F.trim(x)), lambda x: F.length(x) >= least)
 
 
 def merged_fragments(a: Column, least: int = 8) -> Column:

@@ -1 +1,180 @@
-"""To come."""
+"""Domain queries: units, names, places, rules, duplicates, and the record pipeline on fixed examples."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pantrylake.functions import fixed
+from pantrylake.functions.quantity import parse_line
+from pantrylake.operators import classify as C
+from pantrylake.operators import resolve as R
+from pantrylake.operators import units as U
+from pantrylake.operators import validate as V
+from pantrylake.plans.registry import query, table
+
+UNITS = ["g", "kg", "oz", "cup", "tsp", "pinch", "cloves", "ladle", "to taste", ""]
+FOODS = ["rice", "milk", "paneer", "olive oil", "red onion", "unknown spice", "toor dal", "coconut milk", "whole wheat flour", "saffron"]
+
+UOM_SQL = f"""
+WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS q, list_extract({UNITS}, CAST(l_partkey % 10 + 1 AS INT)) AS u, list_extract({FOODS}, CAST(l_suppkey % 10 + 1 AS INT)) AS n FROM lineitem),
+w(u, k, f) AS (VALUES ('g', 'weight', 1.0::DOUBLE), ('kg', 'weight', 1000), ('oz', 'weight', 28.3495), ('cup', 'volume', 240), ('tsp', 'volume', 5), ('pinch', 'colloquial', 0.3), ('cloves', 'count', 1), ('to taste', 'unquantified', NULL)),
+d(n, g) AS (VALUES ('rice', 200.0::DOUBLE), ('paneer', 150), ('red onion', 160), ('toor dal', 200), ('whole wheat flour', 120)),
+m AS (SELECT l.*, k, CASE WHEN k = 'unquantified' THEN NULL WHEN l.u = '' THEN q WHEN k IN ('weight', 'colloquial') THEN q * f WHEN k = 'count' THEN q WHEN k = 'volume' AND l.n IN ('milk', 'olive oil', 'coconut milk') THEN q * f WHEN k = 'volume' THEN q * f * coalesce(g, 120) / 240 END AS v,
+  CASE WHEN k = 'unquantified' THEN 'unquantified' WHEN l.u = '' THEN 'count_inferred' WHEN k = 'weight' THEN 'weight_standard' WHEN k = 'colloquial' THEN 'colloquial_estimate' WHEN k = 'count' THEN 'count_passthrough'
+  WHEN k = 'volume' AND l.n IN ('milk', 'olive oil', 'coconut milk') THEN 'volume_standard' WHEN k = 'volume' AND g IS NOT NULL THEN 'density_lookup' WHEN k = 'volume' THEN 'estimated_density_lookup' ELSE 'unknown' END AS method
+  FROM l LEFT JOIN w ON l.u = w.u LEFT JOIN d ON l.n = d.n)
+SELECT n AS name, u AS unit, method, count(*) AS lines, round(sum(round(v, 2)), 2) AS total FROM m GROUP BY 1, 2, 3
+"""
+
+
+@query(UOM_SQL)
+def uom_convert(spark, sf):
+    """Quantities of every line in canonical units, summed by name, unit and method."""
+    pick = lambda xs, c: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col(c) % 10 + 1).cast("int"))
+    rows = table(spark, sf, "lineitem").select(F.col("l_quantity").alias("quantity"), pick(UNITS, "l_partkey").alias("unit"), pick(FOODS, "l_suppkey").alias("name"))
+    return U.normalise(rows).groupBy("name", "unit", "method").agg(F.count("*").alias("lines"), F.round(F.sum("canonical_quantity"), 2).alias("total"))
+
+
+PART_ALIASES = {"ring": "metal_ring", "anvil": "iron_anvil", "old bolt": "antique_bolt"}
+PART_MASTERS = ["gear", "plate", "small gizmo", "red_widget"]
+
+
+@query("""
+WITH n AS (SELECT p_partkey, p_name, lower(p_name) AS k, regexp_replace(lower(p_name), '^((large|small|hot|medium) )+', '') AS k2 FROM part),
+a(alias, canonical) AS (VALUES ('ring', 'metal_ring'), ('anvil', 'iron_anvil'), ('old bolt', 'antique_bolt')), c(alias, canonical) AS (VALUES ('gear', 'gear'), ('plate', 'plate'), ('small gizmo', 'small gizmo'), ('red widget', 'red_widget')),
+x AS (SELECT n.*, coalesce(a1.canonical, a2.canonical) AS ac, coalesce(c1.canonical, c2.canonical) AS cc FROM n LEFT JOIN a a1 ON k = a1.alias LEFT JOIN a a2 ON regexp_replace(k, '^((large|small) )+', '') = a2.alias LEFT JOIN c c1 ON k = c1.alias LEFT JOIN c c2 ON regexp_replace(k, '^((large|small) )+', '') = c2.alias)
+SELECT p_partkey, coalesce(ac, cc) AS canonical, CASE WHEN ac IS NOT NULL THEN 'alias' WHEN cc IS NOT NULL THEN 'canonical' ELSE 'unresolved' END AS tier, CASE WHEN coalesce(ac, cc) IS NULL THEN 0.0 ELSE 1.0 END AS confidence FROM x
+""")
+def alias_cascade(spark, sf):
+    aliases = spark.createDataFrame(list(PART_ALIASES.items()), "alias string, canonical string")
+    masters = spark.createDataFrame([(m,) for m in PART_MASTERS], "canonical string")
+    names = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name"))
+    return R.resolve(names, aliases, masters).select("p_partkey", "canonical", "tier", "confidence")
+
+
+WORDS = {"english": "the, that, with", "german": "der, nicht, und", "french": "les, dans, pour", "spanish": "los, con, una"}
+
+
+@query("""
+WITH k(label, w, o) AS (VALUES ('english', 'the', 0), ('english', 'that', 1), ('english', 'with', 2), ('german', 'der', 3), ('german', 'nicht', 4), ('german', 'und', 5), ('french', 'les', 6), ('french', 'dans', 7), ('french', 'pour', 8), ('spanish', 'los', 9), ('spanish', 'con', 10), ('spanish', 'una', 11)),
+m AS (SELECT doc_id, label, w, row_number() OVER (PARTITION BY doc_id ORDER BY length(w) DESC, o) AS rn FROM documents, k WHERE regexp_matches(lower(text), '(^|[^a-z0-9])' || w || '($|[^a-z0-9])'))
+SELECT doc_id, label, w AS word FROM documents LEFT JOIN (SELECT * FROM m WHERE rn = 1) USING (doc_id)
+""")
+def classify_longest_keyword(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", C.longest_word(F.lower("text"), WORDS).alias("x"))
+    return rows.select("doc_id", "x.label", "x.word")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN t IS NOT NULL THEN CASE WHEN t <= 30 AND s <= 8 THEN 'EASY' WHEN t <= 90 AND i <= 20 THEN 'MEDIUM' WHEN t <= 180 THEN 'HARD' ELSE 'EXPERT' END WHEN s <= 5 AND i <= 8 THEN 'EASY' WHEN s <= 12 THEN 'MEDIUM' ELSE 'HARD' END AS difficulty,
+  array_to_string(list_filter([CASE WHEN t <= 30 THEN 'QUICK' ELSE '' END, CASE WHEN s <= 6 THEN 'BEGINNER_FRIENDLY' ELSE '' END, CASE WHEN t >= 90 THEN 'MEAL_PREP' ELSE '' END], lambda x: x <> ''), ',') AS tags
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey % 240 END AS t, o_custkey % 15 AS s, o_orderkey % 25 AS i FROM orders)
+""")
+def difficulty_case(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey") % 240).alias("t"), (F.col("o_custkey") % 15).alias("s"), (F.col("o_orderkey") % 25).alias("i"))
+    tags = C.efficiency_tags(F.array().cast("array<string>"), F.col("t"), F.col("s"))
+    return rows.select("o_orderkey", C.difficulty(F.col("t"), F.col("s"), F.col("i")).alias("difficulty"), F.array_join(tags, ",").alias("tags"))
+
+
+DISHES = ["egg pulao", "mutton biryani", "vegan dal", "butter chicken curry", "poha", "kheer", "soy tofu salad", "veg sandwich", "fish curry", "onion pakora", "mango pickle", "plain dosa"]
+
+
+def _any(terms: list[str]) -> str:
+    return f"regexp_matches(t, '(^|[^a-z0-9])({'|'.join(terms)})($|[^a-z0-9])')"
+
+
+def _listed(named: dict[str, list[str]]) -> str:
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_any(v)} THEN '{k}' ELSE '' END" for k, v in named.items()) + "], lambda x: x <> ''), ',')"
+
+
+@query(f"""
+SELECT o_orderkey, CASE WHEN {_any(fixed.MEAT)} THEN 'non_vegetarian' WHEN {_any(fixed.EGG)} THEN 'egg' WHEN contains(t, 'vegan') AND NOT {_any([*fixed.DAIRY, *fixed.EGG, *fixed.MEAT])} THEN 'vegan' WHEN contains(t, 'vegetarian') OR contains(t || ' ', 'veg ') THEN 'vegetarian' END AS diet,
+  {_listed(fixed.ALLERGENS)} AS allergens, {_listed(fixed.DISH_TYPES)} AS dish_types, CASE {' '.join(f"WHEN {_any(v)} THEN '{k}'" for k, v in fixed.DISH_FAMILIES.items())} END AS family,
+  CASE WHEN {_any(fixed.PREMIUM)} THEN 'PREMIUM' WHEN {_any(fixed.BUDGET)} THEN 'BUDGET' ELSE 'MID_RANGE' END AS cost
+FROM (SELECT o_orderkey, list_extract({DISHES}, CAST(o_orderkey % 12 + 1 AS INT)) || ' ' || lower(o_orderpriority) AS t FROM orders)
+""")
+def rule_tags(spark, sf):
+    dish = F.element_at(F.array(*[F.lit(x) for x in DISHES]), (F.col("o_orderkey") % 12 + 1).cast("int"))
+    rows = table(spark, sf, "orders").select("o_orderkey", F.concat_ws(" ", dish, F.lower("o_orderpriority")).alias("t"))
+    t = F.col("t")
+    rows = rows.select(
+        "o_orderkey", C.diet(F.lit(None).cast("string"), t).alias("diet"), F.array_join(C.allergen_tags(F.array().cast("array<string>"), t), ",").alias("allergens"),
+        F.array_join(C.dish_types(t), ",").alias("dish_types"), C.dish_family(t).alias("family"), C.cost_tier(F.lit(None).cast("string"), t).alias("cost"),
+    )
+    return rows
+
+
+@query("""
+WITH t AS (SELECT DISTINCT p_name AS n, list_distinct(string_split(p_name, ' ')) AS w FROM part), p AS (SELECT a.n AS a, b.n AS b, len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w)) AS similarity FROM t a JOIN t b ON a.n < b.n)
+SELECT a, b, round(similarity, 6) AS similarity, CASE WHEN similarity >= 0.9 THEN 'duplicate' WHEN similarity >= 0.5 THEN 'variation' ELSE 'new' END AS class FROM p WHERE similarity >= 0.5
+""")
+def title_similarity_pairs(spark, sf):
+    pairs = C.similar_titles(table(spark, sf, "part").select(F.col("p_name").alias("title")))
+    return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"), C.duplicate_class(F.col("similarity")).alias("class"))
+
+
+LINES = [
+    ("1½ cup rolled oats", "rolled oats"), ("2 to 3 (1 gram) bay leaves", "bay leaves"), ("300g All-purpose flour (maida)", "flour"), ("6 to 8 oz sliced white mushrooms", "mushrooms"),
+    ("2-3 cloves (laung)", "cloves"), ("1 cup milk", "milk"), ("1 tsp unknown spice", "spice"), ("salt as needed", "salt"), ("3/4 cup red onion", "onion"), ("400 g chicken", "chicken"),
+]
+
+
+def example_records(spark) -> DataFrame:
+    rows = [
+        (1, "Gujarati Dhokla", "en", [LINES[0][0], LINES[5][0], LINES[6][0]], ["Mix.", "Steam."], "https://a.example.com/1"),
+        (2, "Hyderabadi Bagara Rice", "en", [LINES[2][0], LINES[4][0]], ["Cook."], "https://a.example.com/2"),
+        (3, "Plain Dosa", "english", [LINES[8][0]], ["Spread.", "Bake."], ""),
+        (4, "Chicken Curry", None, [LINES[9][0], LINES[3][0], LINES[7][0]], [], "https://a.example.com/4"),
+        (5, "रसम", "ta", [LINES[1][0], LINES[5][0]], ["Boil."], None),
+    ]
+    return spark.createDataFrame(rows, "id int, title string, language string, lines array<string>, steps array<string>, source_url string")
+
+
+def processed(spark, records: DataFrame) -> DataFrame:
+    """The record pipeline: parse, resolve, convert, classify, fingerprint, judge."""
+    items = records.select("id", F.posexplode("lines").alias("pos", "line")).withColumn("p", parse_line(F.col("line"))).select("id", "pos", "line", "p.*")
+    known = R.resolve(items, R.alias_table(spark), spark.createDataFrame([(m,) for m in ("rolled_oats", "milk", "bay_leaves", "chicken", "red_onion", "all_purpose_flour")], "canonical string"))
+    converted = U.normalise(known)
+    item = F.struct(
+        "pos", "name", "quantity", "unit", "canonical", "canonical_quantity", "canonical_unit", F.col("method").alias("conversion_method"), F.col("confidence").alias("resolution_confidence"), "uom_confidence",
+        F.array_union("uom_flags", F.when(F.col("tier") == "unresolved", F.array(F.lit("unresolved_ingredient"))).otherwise(F.array().cast("array<string>"))).alias("flags"),
+        C.allergen_tags(F.array().cast("array<string>"), F.lower("name")).alias("allergen_flags"),
+    )
+    grouped = converted.groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("ingredients"))
+    rows = records.drop("lines").join(grouped, "id", "left").withColumn("ingredients", F.coalesce("ingredients", F.expr("array()")))
+    rows = C.classify_place(rows, F.concat_ws(" ", "title", "source_url"))
+    rows = C.enrich(rows, F.concat_ws(" ", "title", F.array_join(F.transform("ingredients", lambda i: i["name"]), " ")), F.size("steps"), F.size("ingredients"), F.lit(None).cast("int"))
+    rows = V.fingerprints(rows)
+    rows = rows.withColumns({"kcal": F.lit(None).cast("double"), "images": F.array().cast("array<string>"), "duplicate_score": F.lit(None).cast("double"), "canonical_id": F.lit(None).cast("int"), "known": F.lit(False)})
+    return V.judge(rows, V.checks())
+
+
+@query()
+def record_pipeline(spark, sf):
+    """Parsed, resolved, converted, classified and judged example records; tests hold it against known results."""
+    from pantrylake.session import ship
+
+    ship(spark)
+    rows = processed(spark, example_records(spark))
+    return rows.select("id", "title", "state", "region", "state_method", "diet", "dish_family", "difficulty_level", F.array_join("failure_codes", ",").alias("failure_codes"), "status", "content_hash")
+
+
+@query()
+def ingredient_lines(spark, sf):
+    """Quantity, unit and name of lines made from the parts table; one function call for each distinct line."""
+    lead = F.element_at(F.array(*[F.lit(x) for x, _ in LINES]), (F.col("p_partkey") % len(LINES) + 1).cast("int"))
+    distinct = table(spark, sf, "part").select(lead.alias("line")).groupBy("line").agg(F.count("*").alias("n"))
+    return distinct.withColumn("p", parse_line(F.col("line"))).select("line", "n", "p.quantity", "p.unit", "p.name")
+
+
+@query("""
+WITH k(s, r, w) AS (VALUES ('Gujarat', 'West', 'dhokla'), ('Kerala', 'South', 'appam'), ('Punjab', 'North', 'butter chicken'))
+SELECT o_orderkey, s AS state, coalesce(r, CASE WHEN contains(t, 'dosa') THEN 'South' WHEN contains(t, 'poha') THEN 'West' WHEN contains(t, 'fish curry') THEN 'East' END) AS region,
+  CASE WHEN s IS NOT NULL THEN 'state_keyword' WHEN contains(t, 'dosa') OR contains(t, 'poha') OR contains(t, 'fish curry') THEN 'regional_keyword' ELSE 'unclassified' END AS method
+FROM (SELECT o_orderkey, list_extract(['dhokla', 'appam stew', 'butter chicken curry', 'poha', 'kheer', 'fish curry', 'plain dosa'], CAST(o_orderkey % 7 + 1 AS INT)) AS t FROM orders) LEFT JOIN k ON contains(t, w)
+""")
+def place_classifier(spark, sf):
+    dishes = ["dhokla", "appam stew", "butter chicken curry", "poha", "kheer", "fish curry", "plain dosa"]
+    rows = table(spark, sf, "orders").select("o_orderkey", F.element_at(F.array(*[F.lit(x) for x in dishes]), (F.col("o_orderkey") % 7 + 1).cast("int")).alias("t"))
+    return C.classify_place(rows, F.col("t")).select("o_orderkey", "state", "region", F.col("state_method").alias("method"))
