@@ -143,7 +143,7 @@ class Model:
     index: Index
     class_weight: np.ndarray
     prior: float
-    fit: np.ndarray  #: logistic weights of (1, vote's logit, whether there are neighbours)
+    fit: np.ndarray | None  #: logistic weights of (1, vote's logit, whether there are neighbours); None: the prior is the score
 
     def vote(self, at: np.ndarray, sim: np.ndarray) -> float:
         cfg = self.index.cfg
@@ -163,8 +163,9 @@ class Model:
             if len(at):
                 votes[i], some[i] = self.vote(at, sim), 1
             why.append(self.index.ids[at[:evidence]].tolist())
-        p = 1 / (1 + np.exp(-np.clip(self.features(votes, some) @ self.fit, -30, 30))) if len(lo) else votes
-        return p, why
+        if self.fit is None:
+            return votes, why
+        return 1 / (1 + np.exp(-np.clip(self.features(votes, some) @ self.fit, -30, 30))), why
 
 
 def examples(docs: DataFrame, labels: DataFrame, cfg: Config) -> tuple[list, dict[int, int]]:
@@ -212,7 +213,7 @@ def train(rows: list[tuple[int, str | None, int]], totals: dict[int, int], cfg:
     sampled = np.bincount(y, minlength=2).astype(float)
     weight = np.array([totals.get(c, 0) / sampled[c] if sampled[c] else 0.0 for c in (0, 1)])
     weight = weight / weight.max() if weight.max() > 0 else weight + 1
-    model = Model(index, weight, prior, np.array([0.0, 1.0, 0.0]))
+    model = Model(index, weight, prior, None)
     if not 0 < n1 < n:
         return model
     lo, hi, qt, qw = index.queries(text)
