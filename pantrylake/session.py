@@ -16,6 +16,7 @@ SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
@@ -28,6 +29,9 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
+    # Texts are large rows; Spark's own batch size would hold tens of MB of them for each task on both sides.
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
     root = os.path.dirname(os.path.abspath(__file__))
     path = os.path.join(tempfile.mkdtemp(prefix="pantrylake-"), "pantrylake.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
