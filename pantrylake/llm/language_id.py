@@ -175,32 +175,34 @@ def sample(docs: DataFrame, cfg: Config) -> tuple[list[str], list[str]]:
     return [r["piece"] for r in got], [r["lang"] for r in got]
 
 
-def identify(docs: DataFrame, cfg: Config = Config(), keep: tuple[str, ...] = ()) -> DataFrame:
+def model_of(docs: DataFrame, cfg: Config):
+    """The network fitted to the sample of docs, broadcast."""
+    return docs.sparkSession.sparkContext.broadcast(train(*sample(docs, cfg), cfg))
+
+
+def identify(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs(doc_id, text, lang)."""
-    texts, labels = sample(docs, cfg)
-    model = train(texts, labels, cfg)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c in keep and c not in ("doc_id", "text")]
-    schema = ", ".join(["doc_id bigint", "held_out boolean", "lang_pred string", "score double"] + (["text string"] if "text" in keep else []) + [f"`{c}` {dict(docs.dtypes)[c]}" for c in rest])
+    shared = model_of(docs, cfg)
 
     def run(it):
         for rb in it:
-            text = rb.column(1)
-            if pa.types.is_null(text.type):
-                text = text.cast(pa.string())
-            pred, score = shared.value.predict(text)
-            cols = [rb.column(0), rb.column(2), pa.array(pred, pa.string()), pa.array(score, pa.float64())]
-            names = ["doc_id", "held_out", "lang_pred", "score"]
-            if "text" in keep:
-                cols, names = [*cols, text], [*names, "text"]
-            yield pa.RecordBatch.from_arrays([*cols, *[rb.column(3 + k) for k in range(len(rest))]], names=[*names, *rest])
+            pred, score = shared.value.predict(rb.column(1))
+            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(2), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     held = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
-    return docs.select("doc_id", "text", held.alias("held_out"), *rest).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", held.alias("held_out")).mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, cfg: Config = Config(), min_score: float = 0.3) -> DataFrame:
-    """The rows of docs whose language is identified; a missing lang is filled in."""
-    got = identify(docs, cfg, keep=tuple(docs.columns))
-    kept = got.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    """The rows of docs whose language is identified, with all their columns; a missing lang is filled in."""
+    shared = model_of(docs, cfg)
+    text, lang = docs.columns.index("text"), docs.columns.index("lang")
+
+    def run(it):
+        for rb in it:
+            pred, score = shared.value.predict(rb.column(text))
+            filled = pc.coalesce(rb.column(lang), pa.array(pred, rb.column(lang).type))
+            out = pa.RecordBatch.from_arrays([filled if i == lang else c for i, c in enumerate(rb.columns)], names=rb.schema.names)
+            yield out.filter(pa.array([p != UNKNOWN and q >= min_score for p, q in zip(pred, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
