@@ -12,12 +12,14 @@ missing id changes nothing; other columns are ignored.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pantrylake.llm.common import batches, ragged
-from pantrylake.llm.pieces import MARK, Encoder, Pieces
+from pantrylake.llm.pieces import MARK, Encoder, Pieces, kept_encoder
 from pantrylake.llm.token_counts import SLICE, model_path
 
 
@@ -47,9 +49,10 @@ class Decoder:
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids, n_tokens, and whether decoding them gives the text again."""
     shared = docs.sparkSession.sparkContext.broadcast(Pieces.load(path or model_path()))
+    name = uuid4().hex
 
     def run(it):
-        enc, dec = Encoder(shared.value), Decoder(shared.value)
+        enc, dec = kept_encoder(name, shared.value), Decoder(shared.value)
         for rb in batches(it, SLICE):
             texts = rb.column(1).to_pylist()
             ids, off = encode_batch(enc, texts)

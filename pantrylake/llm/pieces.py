@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 
@@ -20,6 +21,7 @@ SEGMENT = re.compile("[ ▁]*[^ ▁]+|[ ▁]+")
 START, NONE = -1, -2
 LONG_WORD = 48  #: longer words, and lengths with few words, go one by one
 FEW = 64
+PAIR_BITS = 20  #: places for remembered pairs
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,6 +62,9 @@ class Pieces:
     left_until: np.ndarray = field(repr=False)
     names: list[bytes] = field(repr=False)  #: bytes of each model id when decoded
 
+    def __post_init__(self) -> None:
+        self.right_depth, self.left_depth = (self.right >= 0).sum(1), (self.left >= 0).sum(1)
+
     @property
     def unknown(self) -> int:
         return len(self.text)
@@ -145,29 +150,27 @@ class Pieces:
 
     def stands(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether pieces a and b stay apart: no merge joins a right end of a with a left end of b while both exist."""
-        ok = np.ones(len(a), bool)
-        for i in range(self.right.shape[1]):
-            u, ut = self.right[a, i], self.right_until[a, i]
-            if not (u >= 0).any():
-                break
-            for j in range(self.left.shape[1]):
-                v, vt = self.left[b, j], self.left_until[b, j]
-                rows = np.flatnonzero(ok & (u >= 0) & (v >= 0))
-                if not len(rows):
-                    break
-                k = u[rows].astype(np.int64) * (len(self.text) + 1) + v[rows]
-                at = np.minimum(np.searchsorted(self.pair_keys, k), len(self.pair_keys) - 1)
-                r = np.where(self.pair_keys[at] == k, self.pair_rank[at], 1 << 30)
-                ok[rows[(r < ut[rows]) & (r <= vt[rows])]] = False
-        return ok
+        nr, nl = self.right_depth[a], self.left_depth[b]
+        n = nr * nl
+        pair = np.repeat(np.arange(len(a)), n)
+        k = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+        i, j = k // nl[pair], k % nl[pair]
+        u, v = self.right[a[pair], i], self.left[b[pair], j]
+        key = u.astype(np.int64) * (len(self.text) + 1) + v
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        r = np.where(self.pair_keys[at] == key, self.pair_rank[at], 1 << 30)
+        crossed = (r < self.right_until[a[pair], i]) & (r <= self.left_until[b[pair], j])
+        out = np.ones(len(a), bool)
+        out[pair[crossed]] = False
+        return out
 
 
 class Encoder:
-    """Encodes words and remembers them, up to a bound."""
+    """Encodes words and remembers them, up to a bound; beyond it, those met once make room."""
 
-    def __init__(self, pieces: Pieces, bound: int = 600_000):
+    def __init__(self, pieces: Pieces, bound: int = 300_000):
         self.p, self.bound = pieces, bound
-        self.seen_keys, self.seen_ok = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.seen_key, self.seen_ok = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
         self.pair_memo: dict[int, bool] = {}
         self.number = None
         self.mark = pieces.ids_of_mark
@@ -177,8 +180,25 @@ class Encoder:
         self.memo: dict[str, int] = {}
         self.flat_ids: list[np.ndarray] = []
         self.flat_counts: list[np.ndarray] = []
-        self.n_ids: list[int] = []
-        self.n_chars: list[int] = []
+        self.n_ids: list[np.ndarray] = []
+        self.n_chars: list[np.ndarray] = []
+        self.uses = np.zeros(0, np.int64)
+
+    def prune(self) -> None:
+        """Keeps what was met again, the most used half of the bound at most; a word forgotten is only encoded anew."""
+        keep = np.flatnonzero(self.uses >= 2)
+        if len(keep) > self.bound // 2:
+            keep = np.sort(np.argpartition(-self.uses, self.bound // 2)[: self.bound // 2])
+        place = np.full(len(self.memo), -1, np.int64)
+        place[keep] = np.arange(len(keep))
+        for what, parts, lens in (("ids", self.flat_ids, self.n_ids), ("counts", self.flat_counts, self.n_chars)):
+            flat, at, n = self.tables(what)
+            n = n[keep]
+            parts[:] = [flat[np.repeat(at[keep] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]]
+            lens[:] = [n]
+        places = place.tolist()
+        self.memo = {s: places[i] for s, i in self.memo.items() if places[i] >= 0}
+        self.uses = self.uses[keep] // 2
 
     def allowed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         n = self.p.unknown
@@ -188,18 +208,17 @@ class Encoder:
         if not len(rows):
             return out
         k = a[rows].astype(np.int64) * (n + 1) + b[rows]
-        for _ in range(2):
-            at = np.searchsorted(self.seen_keys, k)
-            at[at == len(self.seen_keys)] = 0
-            hit = self.seen_keys[at] == k if len(self.seen_keys) else np.zeros(len(k), bool)
-            if hit.all():
-                break
-            new = np.unique(k[~hit])
-            keys = np.concatenate([self.seen_keys, new])
-            ok = np.concatenate([self.seen_ok, self.p.stands(new // (n + 1), new % (n + 1))])
-            order = np.argsort(keys, kind="stable")
-            self.seen_keys, self.seen_ok = keys[order], ok[order]
-        out[rows] = self.seen_ok[at]
+        at = (k.view(np.uint64) * _BASE >> np.uint64(64 - PAIR_BITS)).astype(np.intp)
+        miss = np.flatnonzero(self.seen_key[at] != k)
+        ok = self.seen_ok[at]
+        if len(miss):
+            new, inverse = np.unique(k[miss], return_inverse=True)
+            stands = self.p.stands(new // (n + 1), new % (n + 1))
+            ok[miss] = stands[inverse]
+            self.seen_key[at[miss]], self.seen_ok[at[miss]] = k[miss], ok[miss]
+            # Two new pairs may share a place: what was written last has to fit together.
+            self.seen_ok[at[miss]] = np.where(self.seen_key[at[miss]] == k[miss], ok[miss], self.seen_ok[at[miss]])
+        out[rows] = ok
         return out
 
     def together(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,14 +231,15 @@ class Encoder:
             h = h[:, : L - l + 1] * _BASE + chars[:, l - 1 :].astype(np.uint64) + np.uint64(1)
             at = np.searchsorted(p.keys, h)
             at[at == len(p.keys)] = 0
-            hits.append(np.where(p.keys[at] == h, p.key_piece[at], p.unknown if l == 1 else NONE))
-        last, count = np.full((n, L + 1), NONE, np.int32), np.zeros((n, L + 1), np.int32)
-        best, back = np.full((n, L + 1), -np.inf), np.zeros((n, L + 1), np.int16)
+            hits.append(np.asfortranarray(np.where(p.keys[at] == h, p.key_piece[at], p.unknown if l == 1 else NONE)))
+        last, count = np.full((n, L + 1), NONE, np.int32, order="F"), np.zeros((n, L + 1), np.int32, order="F")
+        best, back = np.full((n, L + 1), -np.inf, order="F"), np.zeros((n, L + 1), np.int16, order="F")
         last[:, 0], best[:, 0] = START, 0.0
         score = np.append(p.score, 0.0)
         for e in range(1, L + 1):
-            for l in range(1, min(e, p.longest) + 1):
-                rows = np.flatnonzero((hits[l - 1][:, e - l] >= 0) & (last[:, e - l] != NONE))
+            # The longest piece first: as only one piece can end an encoding here, what has found it is done.
+            for l in range(min(e, p.longest), 0, -1):
+                rows = np.flatnonzero((hits[l - 1][:, e - l] >= 0) & (last[:, e] == NONE) & (last[:, e - l] != NONE))
                 if not len(rows):
                     continue
                 a, b = last[rows, e - l], hits[l - 1][rows, e - l]
@@ -244,7 +264,7 @@ class Encoder:
         last, back, count = [START], [0], [0]
         for e in range(1, len(word) + 1):
             found = NONE
-            for l in range(1, min(e, p.longest) + 1):
+            for l in range(min(e, p.longest), 0, -1):
                 a = last[e - l]
                 b = number.get(word[e - l : e], n if l == 1 else NONE)
                 if b == NONE or a == NONE:
@@ -281,43 +301,44 @@ class Encoder:
 
     def learn(self, segments: list[str]) -> None:
         """Encodes segments not met before; a segment is a run of spaces and a word, or either alone."""
-        cores: dict[str, tuple[list[int], np.ndarray]] = {}
         by_len: dict[int, list[str]] = {}
-        split = []
+        rest = []
         for s in segments:
-            w = s.lstrip(" ▁")
-            lead = len(s) - len(w)
-            core = (MARK if lead else "") + w
-            split.append((s, lead, w, core))
-            if w and core not in cores:
-                cores[core] = None
-                by_len.setdefault(len(core), []).append(core)
+            if len(s) > 1 and s[0] == " " and s[1] not in " ▁" and len(s) <= LONG_WORD:
+                by_len.setdefault(len(s), []).append(s)
+            else:
+                rest.append(s)
         for L, words in by_len.items():
-            if L > LONG_WORD or len(words) < FEW:
-                for w in words:
-                    back, count = self.alone(w)
-                    cores[w] = (self.word_ids(w, back), np.array(count, np.int32))
+            if len(words) < FEW:
+                rest += words
                 continue
             for i in range(0, len(words), 16384):
                 part = words[i : i + 16384]
-                chars = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), L)
+                chars = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), L).copy()
+                chars[:, 0] = ord(MARK)
                 back, count = self.together(chars)
-                for w, ids, c in zip(part, self.trace(chars, back), count, strict=True):
-                    cores[w] = (ids, c)
-        for s, lead, w, core in split:
+                ids, n_ids = self.trace(chars, back)
+                self.add(part, ids, n_ids, np.ascontiguousarray(count[:, 1:]).reshape(-1), np.full(len(part), L))
+        for s in rest:
+            w = s.lstrip(" ▁")
+            lead = len(s) - len(w)
             if not w:
                 ids, counts = self.p.run(lead), [0] + [len(self.p.run(j)) for j in range(1, lead + 1)]
             else:
-                ids, counts = cores[core]
+                core = (MARK if lead else "") + w
+                back, counts = self.alone(core)
+                ids = self.word_ids(core, back)
                 if lead > 1:
-                    apart = ids[0] == self.mark
-                    ids = self.p.run(lead) + list(ids[1:]) if apart else self.p.run(lead - 1) + list(ids)
+                    ids = self.p.run(lead) + ids[1:] if ids[0] == self.mark else self.p.run(lead - 1) + ids
                     counts = self.led(lead, core, counts)
-            self.memo[s] = len(self.memo)
-            self.n_ids.append(len(ids))
-            self.n_chars.append(len(s))
-            self.flat_ids.append(np.asarray(ids, np.int32))
-            self.flat_counts.append(np.asarray(counts[1:], np.int32))
+            self.add([s], np.array(ids, np.int32), np.array([len(ids)]), np.array(counts[1:], np.int32), np.array([len(s)]))
+
+    def add(self, segments: list[str], ids: np.ndarray, n_ids: np.ndarray, counts: np.ndarray, n_chars: np.ndarray) -> None:
+        self.memo.update(zip(segments, range(len(self.memo), len(self.memo) + len(segments)), strict=True))
+        self.flat_ids.append(ids)
+        self.n_ids.append(n_ids)
+        self.flat_counts.append(counts)
+        self.n_chars.append(n_chars)
 
     def led(self, lead: int, core: str, counts) -> list[int]:
         """Prefix counts of a word behind several spaces."""
@@ -328,8 +349,8 @@ class Encoder:
             out.append(len(run(lead)) + int(counts[e]) - 1 if ids[0] == self.mark else len(run(lead - 1)) + int(counts[e]))
         return out
 
-    def trace(self, chars: np.ndarray, back: np.ndarray) -> list[list[int]]:
-        """Follows the backpointers of equal-length words together."""
+    def trace(self, chars: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Follows the backpointers of equal-length words together: flat ids, and how many each word has."""
         p, (n, L) = self.p, chars.shape
         owner, place, got, extra = [], [], [], []
         e = np.full(n, L)
@@ -358,24 +379,39 @@ class Encoder:
             got.append(x[:, 2])
         owner, place, got = np.concatenate(owner), np.concatenate(place), np.concatenate(got).astype(np.int32)
         order = np.argsort(owner * (4 * L + 4) + place, kind="stable")
-        return np.split(got[order], np.cumsum(np.bincount(owner, minlength=n))[:-1])
+        return got[order], np.bincount(owner, minlength=n)
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Segment numbers of all texts, and how many segments each text has."""
         if len(self.memo) > self.bound:
-            self.clear()
+            self.prune()
         cut = [SEGMENT.findall(" " + t) if t else [] for t in texts]
         new = {s for c in cut for s in c}.difference(self.memo)
         if new:
             self.learn(sorted(new))
         get = self.memo.__getitem__
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        return np.fromiter((i for c in cut for i in map(get, c)), np.int64, int(counts.sum())), counts
+        segs = np.fromiter(map(get, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        uses = np.bincount(segs, minlength=len(self.memo))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
+        return segs, counts
 
     def tables(self, what: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat values, the offset of each segment, and its length: `ids`, or `counts` at each character."""
         parts, lens = (self.flat_ids, self.n_ids) if what == "ids" else (self.flat_counts, self.n_chars)
         if len(parts) > 1:
-            parts[:] = [np.concatenate(parts)]
-        n = np.array(lens, np.int64)
+            parts[:], lens[:] = [np.concatenate(parts)], [np.concatenate(lens)]
+        n = lens[0].astype(np.int64) if lens else np.zeros(0, np.int64)
         return (parts[0] if parts else np.zeros(0, np.int32)), np.cumsum(n) - n, n
+
+
+_kept: dict[str, Encoder] = {}
+
+
+def kept_encoder(name: str, pieces: Pieces) -> Encoder:
+    """This process's encoder of that name, with what it has learnt in earlier tasks; a new name drops the old one."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = Encoder(pieces)
+    return _kept[name]

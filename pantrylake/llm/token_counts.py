@@ -10,6 +10,8 @@ equal rows get equal counts; a repeated or missing id changes nothing; other col
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pantrylake.llm.common import batches, ragged
-from pantrylake.llm.pieces import Encoder, Pieces
+from pantrylake.llm.pieces import Encoder, Pieces, kept_encoder
 
 MODEL = "piece_bpe_32k.model"
 SLICE = 4 << 20
@@ -54,9 +56,10 @@ def prefix_table(enc: Encoder, texts: list[str | None]) -> tuple[np.ndarray, np.
 
 def _run(docs: DataFrame, path: str, schema: str, make) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(Pieces.load(path))
+    name = uuid4().hex
 
     def run(it):
-        enc = Encoder(shared.value)
+        enc = kept_encoder(name, shared.value)
         for rb in batches(it, SLICE):
             text = rb.column(1)
             counts, off = prefix_table(enc, text.to_pylist())
