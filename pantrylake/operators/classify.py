@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +18,19 @@ def region_of(state: Column) -> Column:
 
 
 def longest_word(text: Column, words: dict[str, str]) -> Column:
-    """(label, word) of the longest word in the text; the first listed among equals.  One pattern finds all of them."""
-    listed = [(label, w.strip()) for label, ws in words.items() for w in ws.split(",")]
-    hits = [F.when(has_term(text, [w]), F.struct(F.lit(len(w)).alias("n"), F.lit(-i).alias("o"), F.lit(label).alias("label"), F.lit(w).alias("word"))) for i, (label, w) in enumerate(listed)]
-    any_ = has_term(text, [w for _, w in listed])
-    return F.when(any_, F.array_max(F.array_compact(F.array(*hits))))
+    """(n, o, label, word) of the longest word in the text; the first listed among equals.
+
+    One pattern finds, at every place where a word may begin, the longest one there; a literal map gives its label.
+    """
+    known: dict[str, tuple[int, str]] = {}
+    for label, ws in words.items():
+        for w in ws.split(","):
+            known.setdefault(w.strip(), (-len(known), label))
+    any_of = "|".join(re.escape(w) for w in sorted(known, key=lambda w: (-len(w), w)))
+    hits = F.regexp_extract_all(text, F.lit(f"(?<![a-z0-9])(?=({any_of})(?![a-z0-9]))"), F.lit(1))
+    order = F.create_map(*[F.lit(x) for w, (o, _) in known.items() for x in (w, o)])
+    labels = F.create_map(*[F.lit(x) for w, (_, label) in known.items() for x in (w, label)])
+    return F.array_max(F.transform(hits, lambda w: F.struct(F.length(w).alias("n"), F.try_element_at(order, w).alias("o"), F.try_element_at(labels, w).alias("label"), w.alias("word"))))
 
 
 def first_word(text: Column, words: dict[str, str]) -> Column:
