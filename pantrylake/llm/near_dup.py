@@ -1,14 +1,17 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
 Words are lower-cased runs without white space; a shingle is five words (the whole text when it has fewer).  A
-shingle's weight is its count in the text times idf = 1 + ln((N + 1) / (df + 1)) / ln(N + 1), between 1 and 2 at every
+shingle's weight is 1 + ln(its count in the text) times idf = 1 + ln((N + 1) / (df + 1)) / ln(N + 1), between 1 and 2 at every
 corpus size; df is counted over all documents in a fixed table of 2^18 hash buckets, the only thing broadcast.  Each
 text gets `bands * rows` samples, is banded, and a pair counts as linked only if its exact weighted Jaccard similarity
 is at least the threshold.
 
-Groups stay linear: equal texts collapse to one representative by a 128-bit hash; within a band's bucket all members
-are compared with the least one, and only members that no link has joined yet with others of their bucket are compared
-further.  So every pair that shares a bucket is either compared or already in one class.
+Groups stay nearly linear: equal texts collapse to one representative by a 128-bit hash; within a band's bucket all
+members are compared with the least one.  Where a bucket is left with members of different classes, those are compared
+further whose similarity isn't ruled out by an exact bound: one minus weighted Jaccard is a metric, so members whose
+similarities to a third differ by more than 1 - threshold are too far apart; and what a text alone holds (shingles that
+no other open text has) can't be shared with anyone.  So every pair that shares a bucket is compared, is in one class
+already, or is proven to be below the threshold.
 
 Edge cases: a null, empty or white-space text is alone in its class; equal texts share a class whatever their length;
 repeated rows (equal ids) are one node and each returned; a row without id gets the class of its equals, else null; an
@@ -62,7 +65,7 @@ def bucket(key: np.ndarray) -> np.ndarray:
 
 
 def weights(key: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return tf * idf[bucket(key)]
+    return (1 + np.log(tf)) * idf[bucket(key)]
 
 
 def frequencies(docs: DataFrame, cfg: Config) -> np.ndarray:
@@ -139,10 +142,10 @@ def signatures(docs: DataFrame, idf, cfg: Config) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, idf, cfg: Config) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity reaches the threshold, with it."""
+def similarities(pairs: DataFrame, docs: DataFrame, idf, cfg: Config) -> DataFrame:
+    """The weighted Jaccard similarity of each pair (a, b)."""
     texts = docs.select("doc_id", "text")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     texts = texts.filter(id_test(ids, "id")("doc_id"))
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(
         texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text")), "a"
@@ -158,9 +161,7 @@ def linked(pairs: DataFrame, docs: DataFrame, idf, cfg: Config) -> DataFrame:
             least = np.bincount(row(ka[ia]), np.minimum(wa[ia], wb[ib]), n)
             union = np.bincount(row(ka), wa, n) + np.bincount(row(kb), wb, n) - least
             sim = np.where(union > 0, least / np.maximum(union, 1e-9), 0.0)
-            yes = np.flatnonzero(sim >= cfg.threshold)
-            out = rb.take(pa.array(yes))
-            yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), pa.array(sim[yes])], names=["a", "b", "similarity"])
+            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(sim)], names=["a", "b", "similarity"])
 
     return both.select("a", "b", "text", "text_b").mapInArrow(run, "a bigint, b bigint, similarity double")
 
@@ -172,23 +173,72 @@ def classes(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     least = sig.filter("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     member = sig.join(least, ["k1", "k2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "bands", F.col("k1").isNotNull().alias("has_words"))
     member = checkpointed(member.withColumn("bands", F.when((F.col("doc_id") == F.col("rep")) & F.col("has_words"), F.col("bands"))))
-    band = member.filter("bands IS NOT NULL").select("rep", F.explode("bands").alias("bucket"))
+    band = member.filter("bands IS NOT NULL").select("rep", F.posexplode("bands").alias("band", "bucket"))
     lead = band.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("bucket", "a")
     full = checkpointed(band.join(lead, "bucket"))
-    star = checkpointed(full.filter("rep <> a").select("a", F.col("rep").alias("b")).distinct())
-    links = checkpointed(linked(star, docs, idf, cfg).select("a", "b"))
+    star = checkpointed(similarities(full.filter("rep <> a").select("a", F.col("rep").alias("b")).distinct(), docs, idf, cfg))
+    links = star.filter(F.col("similarity") >= cfg.threshold).select("a", "b")
     comp = components(links)
-    of = full.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"))
-    split = of.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("bucket")
-    open_ = checkpointed(of.join(split, "bucket").distinct())
-    one, two = open_.select("bucket", F.col("rep").alias("a"), F.col("comp").alias("ca")), open_.select("bucket", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-    rest = one.join(two, "bucket").filter("ca <> cb AND a < b").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = checkpointed(linked(checkpointed(rest), docs, idf, cfg).select("a", "b"))
-    if not more.isEmpty():
-        comp = components(links.unionByName(more))
+    apart = _apart(full.join(star.withColumnRenamed("b", "rep"), ["a", "rep"], "left"), comp)
+    if not apart.isEmpty():
+        reps = member.filter("bands IS NOT NULL").select("rep", "bands")
+        pairs = checkpointed(_open_pairs(apart, reps, docs, idf, cfg).join(star, ["a", "b"], "left_anti"))
+        more = checkpointed(similarities(pairs, docs, idf, cfg).filter(F.col("similarity") >= cfg.threshold).select("a", "b"))
+        if not more.isEmpty():
+            comp = components(links.unionByName(more))
     return member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("class_id"))
 
 
+def _apart(full: DataFrame, comp: DataFrame) -> DataFrame:
+    """band, bucket, rep, s (similarity to the bucket's least member) and comp, of buckets that hold several classes."""
+    of = full.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    of = of.select("band", "bucket", "rep", F.coalesce("similarity", F.lit(1.0)).alias("s"), F.coalesce("comp", "rep").alias("comp"))
+    split = of.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("bucket")
+    return checkpointed(of.join(split, "bucket").distinct())
+
+
+def _shared_weights(reps: DataFrame, docs: DataFrame, idf, cfg: Config) -> DataFrame:
+    """rep, total weight, and the weight of shingles that it doesn't hold alone among reps."""
+    texts = docs.select("doc_id", "text").filter(id_test(reps, "rep")("doc_id")).join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+
+    def run(it):
+        for rb in batches(it):
+            key, tf, *_ = features(rb.column(1), cfg.k)
+            w, doc = weights(key, tf, idf.value).astype(np.float64), (key >> np.uint64(48)).astype(np.int64)
+            ids = rb.column(0)
+            token = (key & np.uint64((1 << 48) - 1)).view(np.int64)
+            # A row of each text's own carries its total.
+            own = -1 - ids.to_numpy(zero_copy_only=False).astype(np.int64)
+            total = np.bincount(doc, w, rb.num_rows)
+            cols = [pa.array(np.concatenate([token, own])), pa.concat_arrays([ids.take(pa.array(doc)), ids]), pa.array(np.concatenate([w, np.zeros(len(own))])), pa.array(np.concatenate([np.zeros(len(w)), total]))]
+            yield pa.RecordBatch.from_arrays(cols, names=["token", "rep", "w", "total"])
+
+    rows = texts.mapInArrow(run, "token bigint, rep bigint, w double, total double")
+    lone = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("rep").alias("rep"), F.min("w").alias("w"), F.max("total").alias("total")).filter("n = 1")
+    return lone.groupBy("rep").agg(F.max("total").alias("total"), F.sum("w").alias("lone")).select("rep", "total", (F.col("total") - F.col("lone")).alias("shared"))
+
+
+def _open_pairs(apart: DataFrame, reps: DataFrame, docs: DataFrame, idf, cfg: Config) -> DataFrame:
+    """Pairs of a bucket in different classes that no bound rules out, each from the first bucket that it shares.
+
+    Equal joins on the bucket and a slice of the similarity to its least member.
+    """
+    t, gap, slack = cfg.threshold, 1 - cfg.threshold + 1e-6, 1e-6
+    names = checkpointed(apart.select("rep").distinct())
+    held = reps.join(names, "rep", "left_semi").join(_shared_weights(names, docs, idf, cfg), "rep", "left")
+    # Without a total (an id that stands for several rows) nothing is ruled out.
+    held = held.filter(F.col("total").isNull() | (F.col("shared") >= t * F.col("total") - slack))
+    now = checkpointed(apart.join(held, "rep").withColumn("slice", F.floor(F.col("s") / gap)))
+    cols = ["bucket", "slice", "band", "rep", "comp", "s", "bands", "total", "shared"]
+    one = now.select(*[F.col(c).alias(c if c in ("bucket", "slice") else f"{c}_a") for c in cols])
+    near = F.explode(F.array(F.col("slice") - 1, F.col("slice"), F.col("slice") + 1)).alias("slice")
+    two = now.select("bucket", near, *[F.col(c).alias(f"{c}_b") for c in cols[3:]])
+    first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.col("band_a") + 1
+    room = F.coalesce(F.least("shared_a", "shared_b") >= t / (1 + t) * (F.col("total_a") + F.col("total_b")) - slack, F.lit(True))
+    apart_ = (F.col("comp_a") != F.col("comp_b")) & (F.col("rep_a") < F.col("rep_b")) & (F.abs(F.col("s_a") - F.col("s_b")) <= gap)
+    return one.join(two, ["bucket", "slice"]).filter(apart_ & room & first).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+
+
 def keep_one(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     """docs with one row of each class, that of the least id."""
     gone = checkpointed(classes(docs, cfg).filter("doc_id <> class_id").select("doc_id"))
