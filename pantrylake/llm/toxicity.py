@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pantrylake.llm.common import batches, crc_mod, run_hashes, spans, utf8
+from pantrylake.llm.common import batches, chunks, crc_mod, run_hashes, spans, utf8
 
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(97, 123)]] = True
@@ -67,6 +67,19 @@ def counted(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return d[first], h[first], np.diff(np.append(first, len(h)))
 
 
+def term_counts(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As counted, over slices of the texts, so that the working arrays stay small however many texts there are."""
+    _, off = utf8(text)
+    parts = []
+    for i, j in chunks(off):
+        h, d = terms(text.slice(i, j - i))
+        d, h, n = counted(h, d)
+        parts.append((d + i, h, n))
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 class Index:
     """Block-max inverted index of the examples' unit vectors."""
 
@@ -125,14 +138,14 @@ class Index:
 
     def queries(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each text the slice of its terms, the terms, and their unit weights."""
-        h, of = terms(text)
         n = len(text)
         if not len(self.vocab):
             return np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        doc, h, tf = term_counts(text)
         at = np.searchsorted(self.vocab, h)
         at[at == len(self.vocab)] = 0
         hit = self.vocab[at] == h
-        doc, term, tf = counted(at[hit], of[hit])
+        doc, term, tf = doc[hit], at[hit], tf[hit]
         w = (1 + np.log(tf)) * self.idf[term]
         w = w / np.sqrt(np.bincount(doc, w * w, n))[doc]
         return np.searchsorted(doc, np.arange(n)), np.searchsorted(doc, np.arange(1, n + 1)), term, w
@@ -194,7 +207,7 @@ def train(rows: list[tuple[int, str | None, int]], totals: dict[int, int], cfg:
     n = len(rows)
     total = sum(totals.values())
     prior = totals.get(1, 0) / total if total else 0.0
-    doc, term, tf = counted(*terms(text))
+    doc, term, tf = term_counts(text)
     vocab, inverse = np.unique(term, return_inverse=True)
     df = np.bincount(inverse, minlength=len(vocab)).astype(float)
     pos = np.bincount(inverse, y[doc], len(vocab)) if n else df
