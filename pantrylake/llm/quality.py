@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pantrylake.llm.common import SPACE, batches, run_hashes, spans, utf8
+from pantrylake.llm.common import SPACE, batches, chunks, run_hashes, spans, utf8
 from pantrylake.llm.repetition import SYMBOL, repeated, windows
 
 LABELLERS = ("symbols", "upper_case", "list_marks", "exclamations", "repeated_lines", "repeated_phrases", "sentence_ends", "word_lengths")
@@ -156,7 +156,12 @@ def fit(text: pa.Array, codes: np.ndarray, posterior: np.ndarray, cfg: Config) -
     w, b = np.zeros((2 << HASH_BITS) + 20), 0.0
     if not len(codes):
         return Model(w, b, codes, posterior)
-    votes, (doc, dim, value) = look(text)
+    # In slices, so that the driver's working arrays stay small.
+    parts = [(i, *look(text.slice(i, j - i))) for i, j in chunks(utf8(text)[1])]
+    if not parts:
+        return Model(w, b, codes, posterior)
+    votes = np.concatenate([v for _, v, _ in parts])
+    doc, dim, value = (np.concatenate([f[k] + (i if k == 0 else 0) for i, _, f in parts]) for k in range(3))
     y = posterior[np.searchsorted(codes, code(votes))]
     n = len(text)
     first = np.searchsorted(doc, np.arange(n + 1))
