@@ -3,7 +3,9 @@
 For each document a suffix array over its words is built by rank doubling, for many documents of a batch at once.  The
 longest common prefix of neighbouring suffixes gives, for each position, the longest text there that occurs elsewhere
 in the document; those of at least `min_words` are the maximal repeated substrings.  The union of their spans may cover
-at most `max_fraction` of the words, and the longest may have at most `max_repeat` words.
+at most `max_fraction` of the words, and the longest may have at most `max_repeat` words.  Every word in such a span also
+lies in a repeated window of three words, of which the base rule allows half, so max_fraction decides only below 0.5.
+A document of fewer than `short_words` words whose repeats are one line that occurs twice is spared the fraction.
 
 Only suffixes whose first `min_words` words occur twice can begin such a repeat, so only they are sorted; the others
 count as distinct ranks, which changes no result.
@@ -30,8 +32,9 @@ SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 @dataclass(frozen=True)
 class Config:
     min_words: int = 10
-    max_fraction: float = 0.5
+    max_fraction: float = 0.3
     max_repeat: int = 100
+    short_words: int = 100
 
 
 def repeated(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,6 +138,8 @@ def measure(text: pa.Array, cfg: Config) -> dict[str, np.ndarray]:
     full = np.searchsorted(starts, le) > np.searchsorted(starts, ls)
     _, later = repeated(run_hashes(data, ls, le)[full], ldoc[full])
     dup_lines = np.bincount(ldoc[full], later, n).astype(np.int64)
+    line_words = (np.searchsorted(starts, le) - np.searchsorted(starts, ls))[full]
+    dup_words = np.bincount(ldoc[full], later * line_words, n).astype(np.int64)
 
     wdoc = np.repeat(np.arange(n), n_words)
 
@@ -152,7 +157,8 @@ def measure(text: pa.Array, cfg: Config) -> dict[str, np.ndarray]:
     np.maximum.at(longest, wdoc[pos], length)
     in_repeats = covered(pos, length)
     failed = (n_words < 50) | (100 * repeat_words > 50 * n_words)
-    kept = ~failed & (in_repeats <= cfg.max_fraction * n_words) & (longest <= cfg.max_repeat)
+    one_line = (n_words < cfg.short_words) & (dup_lines == 1) & (dup_words >= cfg.min_words) & (in_repeats <= 2 * dup_words)
+    kept = ~failed & (one_line | (in_repeats <= cfg.max_fraction * n_words)) & (longest <= cfg.max_repeat)
     return {
         "n_words": n_words, "word_chars": by_doc(solid & ((data & 0xC0) != 0x80)), "n_symbols": by_doc(SYMBOL[data]), "n_dup_lines": dup_lines,
         "n_repeat_words": repeat_words, "base_failed": failed, "kept": kept, "repeat_words": in_repeats, "longest_repeat": longest,

@@ -220,6 +220,21 @@ def test_repetition_equals_brute_force(docs):
     assert len(rows) == len(EDGE) and not any(r["kept"] for r in rows)
 
 
+def test_coverage_by_long_repeats_decides_alone():
+    words = (f"w{i}" for i in range(10**6))
+    fresh = lambda n: " ".join(next(words) for _ in range(n))
+    passage, line = fresh(90), fresh(12)
+    texts = [
+        "\n".join(fresh(110) + " " + passage for _ in range(5)),  # 450 of 1,000 words in repeats of 90
+        "\n".join([passage, fresh(300), passage, fresh(200)]),  # 180 of 680
+        "\n".join([line, fresh(40), line]),  # 24 of 64, one short line twice
+        "\n".join([line, fresh(30), line, fresh(10), line]),  # the line thrice
+    ]
+    got = repetition.measure(pa.array(texts), repetition.Config())
+    assert not got["base_failed"][:3].any() and got["repeat_words"][:3].tolist() == [450, 180, 24] and max(got["longest_repeat"]) <= 100
+    assert got["kept"].tolist() == [False, True, True, False]
+
+
 def test_language(docs):
     rng = random.Random(4)
     words = {"en": ["the", "thing", "with", "and"], "de": ["der", "und", "nicht", "schön"], "fr": ["les", "être", "dans", "où"]}
