@@ -27,7 +27,17 @@ def whitespace_collapse(spark, sf):
 @query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) AS flat FROM documents WHERE text NOT LIKE '%&%'")
 def clean_text_documents(spark, sf):
     """The cleaner on texts without entities; they hold no mojibake, so only white space changes."""
-    return table(spark, sf, "documents").filter("text NOT LIKE '%&%'").select("doc_id", T.clean_text("text").alias("flat"))
+    return _cleaned(table(spark, sf, "documents").filter("text NOT LIKE '%&%'"))
+
+
+def _cleaned(docs):
+    return docs.select("doc_id", T.clean_text("text").alias("flat"))
+
+
+@query()
+def clean_text_all(spark, sf):
+    """The cleaner on every text; tests hold it against Python's entities on small texts, which DuckDB has no function for."""
+    return _cleaned(table(spark, sf, "documents"))
 
 
 @query("SELECT p_partkey, trim(regexp_replace(upper(p_brand || ' - ' || p_type), '[^A-Z0-9]+', '_', 'g'), '_') AS tag FROM part")
@@ -42,7 +52,17 @@ SELECT doc_id, pos - 1 AS pos, trim(parts[pos]) AS part FROM (SELECT doc_id, par
 """)
 def listify_explode(spark, sf):
     """Texts as lists, one row an element."""
-    return table(spark, sf, "documents").filter("n_chars < 400 AND text NOT LIKE '[%'").select("doc_id", F.posexplode(T.as_list(F.col("text"))).alias("pos", "part"))
+    return _listed(table(spark, sf, "documents").filter("n_chars < 400 AND text NOT LIKE '[%'"))
+
+
+def _listed(docs):
+    return docs.select("doc_id", F.posexplode(T.as_list(F.col("text"))).alias("pos", "part"))
+
+
+@query()
+def listify_all(spark, sf):
+    """Every text as a list, JSON arrays too; tests hold it against Python on small texts."""
+    return _listed(table(spark, sf, "documents"))
 
 
 @query("""
@@ -62,11 +82,23 @@ SELECT doc_id, len(s) AS n_sentences, len(list_filter(s, lambda x: length(x) >=
 FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])[ \\t\\n\\r]+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x, ' ' || chr(10))), lambda x: length(x) >= 12) AS s FROM documents WHERE lang = 'en')
 """)
 def sentence_steps(spark, sf):
-    s = T.sentences(F.col("text"))
-    rows = table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", s.alias("s"))
+    return _sentence_counts(table(spark, sf, "documents").filter("lang = 'en'"))
+
+
+def _sentence_counts(docs):
+    rows = docs.select("doc_id", T.sentences(F.col("text")).alias("s"))
     return rows.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.size(F.filter("s", lambda x: F.length(x) >= 30)).cast("long").alias("n_long"))
 
 
+@query("""
+SELECT doc_id, len(s) AS n_sentences, len(list_filter(s, lambda x: length(x) >= 30)) AS n_long
+FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])[ \\t\\n\\r]+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x, ' ' || chr(10))), lambda x: length(x) >= 12) AS s FROM documents)
+""")
+def sentence_steps_all(spark, sf):
+    """Sentences of every document, whatever its language."""
+    return _sentence_counts(table(spark, sf, "documents"))
+
+
 @query("SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z0-9])(the|and|of)($|[^a-z0-9])') AS english, regexp_matches(lower(text), '(^|[^a-z0-9])(der|die|und)($|[^a-z0-9])') AS german FROM documents")
 def term_flags(spark, sf):
     low = F.lower("text")

@@ -186,3 +186,28 @@ def test_streams(spark, tmp_path):
     assert windows.agg(F.max("n")).first()[0] == 11
     said = []
     assert A.notify(windows, said.append, 2) == 2 and "critical failures" in said[0]
+
+
+def test_text_queries_take_every_document(spark, tmp_path):
+    import html
+
+    from pantrylake.plans.catalogue import queries
+
+    long = "alpha beta, gamma " * 40
+    texts = {1: "Tom &amp; Jerry &lt;b&gt;  &eacute;", 2: '["a, b", " c ", ""]', 3: long, 4: "[not json, x", 5: "Ein langer Satz hier. Und noch ein langer Satz.", 6: None, 7: "x | y\nz, w"}
+    lang = {1: "en", 2: None, 3: "en", 4: "fr", 5: "de", 6: "de", 7: None}
+    rows = [(i, t, lang[i], "s", None if t is None else len(t)) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: queries()[name](spark, str(tmp_path)).collect()
+
+    want = {i: None if t is None else " ".join(html.unescape(t).split()) for i, t in texts.items()}
+    assert {r["doc_id"]: r["flat"] for r in run("clean_text_all")} == want
+
+    parts = {1: [texts[1]], 2: ["a, b", "c"], 3: [x.strip() for x in long.split(",")], 4: ["[not json", "x"], 5: [texts[5]], 7: ["x", "y", "z, w"]}
+    got = {}
+    for r in sorted(run("listify_all"), key=lambda r: (r["doc_id"], r["pos"])):
+        got.setdefault(r["doc_id"], []).append(r["part"])
+    assert got == {i: [x for x in p if x] for i, p in parts.items()}
+
+    steps = {r["doc_id"]: r["n_sentences"] for r in run("sentence_steps_all")}
+    assert set(steps) == set(texts) and steps[5] == 2 and steps[3] == 1
