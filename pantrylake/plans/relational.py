@@ -79,6 +79,23 @@ def detail_nested(spark, sf):
     return lines.join(table(spark, sf, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", F.size("x").cast("long").alias("n_lines"), text.alias("lines"))
 
 
+@query("""
+SELECT o_orderkey, count(l_orderkey) AS n_lines, coalesce(string_agg(CASE WHEN l_orderkey IS NOT NULL THEN coalesce(p_name, '?') || ' x' || CAST(l_quantity AS BIGINT) END, '; ' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity), '') AS lines
+FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey LEFT JOIN part ON l_partkey = p_partkey GROUP BY o_orderkey
+""")
+def detail_nested_all(spark, sf):
+    """A nested detail row for every order, those without lines too."""
+    lines = (
+        table(spark, sf, "lineitem")
+        .join(table(spark, sf, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"), "left")
+        .groupBy("l_orderkey")
+        .agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "p_name"))).alias("x"))
+    )
+    text = F.array_join(F.transform("x", lambda r: F.concat(F.coalesce(r.p_name, F.lit("?")), F.lit(" x"), r.l_quantity.cast("long"))), "; ")
+    rows = table(spark, sf, "orders").select("o_orderkey").join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return rows.select("o_orderkey", F.coalesce(F.size("x"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(text, F.lit("")).alias("lines"))
+
+
 @query("""
 SELECT r_name, count(*) FILTER (c_acctbal > 0) AS n_positive, count(DISTINCT CASE WHEN c_acctbal > 5000 THEN c_mktsegment END) AS rich_segments,
        count(DISTINCT n_nationkey) AS n_nations, round(avg(coalesce(c_acctbal, 0)), 4) AS avg_balance
@@ -243,6 +260,18 @@ def cond_merge_update(spark, sf):
     return merge_nonempty(base.filter("c_custkey % 2 = 0"), new, ["c_custkey"]).select("c_custkey", "c_name", "c_acctbal", "inserted")
 
 
+@query("""
+WITH s AS (SELECT o_custkey, max(o_totalprice) AS c_acctbal, max(CASE WHEN o_orderstatus = 'F' THEN o_orderpriority || ' ' || o_custkey END) AS c_name FROM orders GROUP BY o_custkey)
+SELECT coalesce(c_custkey, o_custkey) AS c_custkey, coalesce(nullif(s.c_name, ''), t.c_name) AS c_name, coalesce(s.c_acctbal, t.c_acctbal) AS c_acctbal, c_custkey IS NULL AS inserted
+FROM customer t FULL JOIN s ON c_custkey = o_custkey
+""")
+def cond_merge_orders(spark, sf):
+    """All customers, merged with what all orders say of them."""
+    name = F.max(F.when(F.col("o_orderstatus") == "F", F.concat_ws(" ", "o_orderpriority", "o_custkey")))
+    new = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal"), name.alias("c_name"))
+    return merge_nonempty(table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"), new, ["c_custkey"]).select("c_custkey", "c_name", "c_acctbal", "inserted")
+
+
 @query("""
 WITH t AS (SELECT c_custkey AS id, 'h' || c_custkey AS content_hash, 'u' || (c_custkey % 997) AS url_hash, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0),
 s AS (SELECT 'h' || c_custkey AS content_hash, 'u' || (c_custkey + 40000) AS url_hash, c_acctbal + 1 AS v FROM customer WHERE c_custkey % 5 = 0),
@@ -257,6 +286,19 @@ def upsert_merge(spark, sf):
     return upsert_two_keys(target, source, "id", "content_hash", "url_hash").select("id", "content_hash", "v", "action")
 
 
+@query("""
+WITH s AS (SELECT 'h' || max(o_orderkey) AS content_hash, 'u' || min(o_orderkey) AS url_hash, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY o_custkey),
+m AS (SELECT s.content_hash, s.v, least(a.c_custkey, b.c_custkey) AS id FROM s LEFT JOIN customer a ON s.content_hash = 'h' || a.c_custkey LEFT JOIN customer b ON s.url_hash = 'u' || b.c_custkey)
+SELECT id, content_hash, v, CASE WHEN id IS NULL THEN 'insert' ELSE 'update' END AS action FROM m
+""")
+def upsert_orders(spark, sf):
+    """An aggregate of all orders into all customers, by the numbers of a customer's last or first order."""
+    target = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.expr("'h' || c_custkey").alias("content_hash"), F.expr("'u' || c_custkey").alias("url_hash"))
+    sums = table(spark, sf, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("last"), F.min("o_orderkey").alias("first"), F.round(F.sum("o_totalprice"), 2).alias("v"))
+    source = sums.select(F.expr("'h' || last").alias("content_hash"), F.expr("'u' || first").alias("url_hash"), "v")
+    return upsert_two_keys(target, source, "id", "content_hash", "url_hash").select("id", "content_hash", "v", "action")
+
+
 @query("SELECT coalesce(o_orderstatus, 'ALL') AS status, coalesce(o_orderpriority, 'ALL') AS priority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority) HAVING count(*) > 10")
 def rollup_cube(spark, sf):
     rows = table(spark, sf, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")).filter("n > 10")
@@ -320,6 +362,13 @@ def full_outer(spark, sf):
     return a.join(b, F.col("o_orderkey") == F.col("l_orderkey"), "full").select("o_orderkey", F.col("l_orderkey").isNotNull().alias("matched"))
 
 
+@query("SELECT o_orderkey, l_orderkey IS NOT NULL AS matched FROM orders FULL JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON o_orderkey = l_orderkey")
+def full_outer_all(spark, sf):
+    """All orders against the keys of all lines."""
+    a, b = table(spark, sf, "orders").select("o_orderkey"), table(spark, sf, "lineitem").select("l_orderkey").distinct()
+    return a.join(b, F.col("o_orderkey") == F.col("l_orderkey"), "full").select("o_orderkey", F.col("l_orderkey").isNotNull().alias("matched"))
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def tumbling_counts(spark, sf):
     rows = table(spark, sf, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))

@@ -211,3 +211,20 @@ def test_text_queries_take_every_document(spark, tmp_path):
 
     steps = {r["doc_id"]: r["n_sentences"] for r in run("sentence_steps_all")}
     assert set(steps) == set(texts) and steps[5] == 2 and steps[3] == 1
+
+
+def test_relational_queries_take_whole_tables(spark, tmp_path):
+    from pantrylake.plans.catalogue import queries
+
+    def put(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    put("customer", [(i, f"c{i}", 1.0) for i in range(1, 6)], "c_custkey bigint, c_name string, c_acctbal double")
+    put("orders", [(1, 3, "F", "p", 10.0), (2, 3, "O", "p", 30.0), (5, 9, "O", "p", 7.0), (8, 9, "O", "p", 1.0), (97, 4, "O", "p", 2.0)], "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string, o_totalprice double")
+    put("lineitem", [(1, 7, 1, 2, 3.0), (1, 8, 1, 1, 4.0), (11, 7, 1, 1, 5.0)], "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double")
+    put("part", [(7, "bolt")], "p_partkey bigint, p_name string")
+    run = lambda name: {tuple(r) for r in queries()[name](spark, str(tmp_path)).collect()}
+    assert run("detail_nested_all") == {(1, 2, "? x4; bolt x3"), (2, 0, ""), (5, 0, ""), (8, 0, ""), (97, 0, "")}
+    assert run("full_outer_all") == {(1, True), (2, False), (5, False), (8, False), (97, False), (None, True)}
+    assert run("cond_merge_orders") == {(1, "c1", 1.0, False), (2, "c2", 1.0, False), (3, "p 3", 30.0, False), (4, "c4", 2.0, False), (5, "c5", 1.0, False), (9, None, 7.0, True)}
+    assert run("upsert_orders") == {(1, "h2", 40.0, "update"), (5, "h8", 8.0, "update"), (None, "h97", 2.0, "insert")}
