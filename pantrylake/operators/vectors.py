@@ -23,9 +23,11 @@ def top_k(rows: DataFrame, query: list[float], k: int, embedding: str = "embeddi
     return rows.withColumn("similarity", cosine(F.col(embedding), q)).orderBy(F.desc("similarity"), key).limit(k)
 
 
-def knn(queries: DataFrame, rows: DataFrame, k: int, query_key: str, row_key: str, threshold: float | None = None) -> DataFrame:
+def knn(queries: DataFrame, rows: DataFrame, k: int, query_key: str, row_key: str, threshold: float | None = None, others: bool = False, within: str | None = None) -> DataFrame:
     """query_key, row_key, similarity of the k best rows for each query, by blocks of queries.
 
+    With `others` a query isn't its own neighbour; with `within` only rows that share that column's value are.
+
     A block is collected (at most QUERY_BLOCK vectors) and broadcast; every task multiplies its rows with the block and
     gives its own k best, which one aggregate by query merges.  Work is queries times rows, memory is a block.
     """
@@ -37,8 +39,11 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, query_key: str, row_key: st
     blocks = max(1, -(-n // QUERY_BLOCK))
     qt, rt = dict(queries.dtypes)[query_key], dict(rows.dtypes)[row_key]
     out = None
+    group = [within] if within else []
+    if within:
+        queries, rows = queries.filter(F.col(within).isNotNull()), rows.filter(F.col(within).isNotNull())
     for b in range(blocks):
-        part = queries.select(query_key, "embedding").filter(F.col("embedding").isNotNull())
+        part = queries.select(query_key, "embedding", *group).filter(F.col("embedding").isNotNull())
         if blocks > 1:
             part = part.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b)
         got = part.collect()
@@ -46,10 +51,11 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, query_key: str, row_key: st
             continue
         m = np.array([r["embedding"] for r in got], float)
         norm = np.linalg.norm(m, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast(([r[query_key] for r in got], np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)))
+        groups = np.array([r[within] for r in got]) if within else None
+        shared = spark.sparkContext.broadcast(([r[query_key] for r in got], np.divide(m, norm, out=np.zeros_like(m), where=norm > 0), groups))
 
         def best(it, shared=shared):
-            keys, q = shared.value
+            keys, q, of = shared.value
             for pdf in it:
                 pdf = pdf[pdf["embedding"].notna()]
                 if not len(pdf):
@@ -58,14 +64,18 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, query_key: str, row_key: st
                 size = np.linalg.norm(x, axis=1, keepdims=True)
                 sim = q @ np.divide(x, size, out=np.zeros_like(x), where=size > 0).T
                 ids = pdf[row_key].to_numpy()
+                if others:
+                    sim[np.array(keys)[:, None] == ids] = -np.inf
+                if within:
+                    sim[of[:, None] != pdf[within].to_numpy()] = -np.inf
                 by_id = np.argsort(ids, kind="stable")
                 order = by_id[np.argsort(-np.round(sim[:, by_id], 9), axis=1, kind="stable")[:, :k]]
                 rows_ = np.repeat(np.arange(len(keys)), order.shape[1])
                 s = sim[rows_, order.reshape(-1)]
-                keep = slice(None) if threshold is None else s >= threshold
+                keep = s > -np.inf if threshold is None else s >= threshold
                 yield pd.DataFrame({query_key: [keys[i] for i in rows_[keep]], "_r": ids[order.reshape(-1)][keep], "similarity": s[keep]})
 
-        near = rows.select(row_key, "embedding").mapInPandas(best, f"`{query_key}` {qt}, _r {rt}, similarity double")
+        near = rows.select(row_key, "embedding", *group).mapInPandas(best, f"`{query_key}` {qt}, _r {rt}, similarity double")
         out = near if out is None else out.unionByName(near)
     if out is None:
         return spark.createDataFrame([], f"`{query_key}` {qt}, `{row_key}` {rt}, similarity double")
@@ -75,9 +85,9 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, query_key: str, row_key: st
     return ranked.select(query_key, F.col("_r").alias(row_key), "similarity", "rank")
 
 
-def nearest_above(queries: DataFrame, rows: DataFrame, query_key: str, row_key: str, threshold: float) -> DataFrame:
+def nearest_above(queries: DataFrame, rows: DataFrame, query_key: str, row_key: str, threshold: float, others: bool = False) -> DataFrame:
     """The single best row of each query, if it reaches the threshold."""
-    return knn(queries, rows, 1, query_key, row_key, threshold).drop("rank")
+    return knn(queries, rows, 1, query_key, row_key, threshold, others).drop("rank")
 
 
 def lsh_neighbours(df: DataFrame, key: str, k: int, planes: int = 8, tables: int = 12, dim: int = 64, seed: int = 5) -> DataFrame:

@@ -39,6 +39,17 @@ def knn_threshold(spark, sf):
     return got.select("vec_id", "other", F.round("similarity", 6).alias("similarity"))
 
 
+@query(f"""
+SELECT vec_id, other, round(s, 6) AS similarity FROM (SELECT a.vec_id, b.vec_id AS other, {COSINE} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COSINE}, 9) DESC, b.vec_id) AS rank
+FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) WHERE rank = 1 AND s >= 0.3
+""")
+def knn_threshold_all(spark, sf):
+    """The best match among all other rows, where there is one that is good enough."""
+    rows = table(spark, sf, "embeddings")
+    got = V.nearest_above(rows.filter("vec_id % 50 = 0"), rows.withColumnRenamed("vec_id", "other"), "vec_id", "other", 0.3, others=True)
+    return got.select("vec_id", "other", F.round("similarity", 6).alias("similarity"))
+
+
 @query(f"""
 SELECT a.vec_id, b.vec_id AS other, round({COSINE}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 50 = 0
 """)

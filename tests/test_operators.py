@@ -228,3 +228,12 @@ def test_relational_queries_take_whole_tables(spark, tmp_path):
     assert run("full_outer_all") == {(1, True), (2, False), (5, False), (8, False), (97, False), (None, True)}
     assert run("cond_merge_orders") == {(1, "c1", 1.0, False), (2, "c2", 1.0, False), (3, "p 3", 30.0, False), (4, "c4", 2.0, False), (5, "c5", 1.0, False), (9, None, 7.0, True)}
     assert run("upsert_orders") == {(1, "h2", 40.0, "update"), (5, "h8", 8.0, "update"), (None, "h97", 2.0, "insert")}
+
+
+def test_neighbours_among_all_others(spark, tmp_path):
+    from pantrylake.plans.catalogue import queries
+
+    rows = [(0, [1.0, 0.0], 1), (51, [1.0, 0.01], 1), (2, [0.9, 0.1], 1), (50, [0.0, 1.0], 1), (3, [0.0, 1.0], 2), (100, [-1.0, -1.0], 3), (7, [1.0, 1.0], None), (150, [1.0, 1.0], None)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    best = {r["vec_id"]: r["other"] for r in queries()["knn_threshold_all"](spark, str(tmp_path)).collect()}
+    assert best == {0: 51, 50: 3, 150: 7}  # an odd id, an id below the query's, and none for 100
