@@ -71,12 +71,25 @@ FROM (SELECT conv_id, string_agg(role || ':' || chr(10) || replace(left(text, 60
 """)
 def section_lines(spark, sf):
     """Lines between two markers."""
-    line = F.concat(F.col("role"), F.lit(":\n"), F.replace(F.left("text", F.lit(60)), F.lit("\n"), F.lit(" ")))
-    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("t"))
+    return _section_lines(table(spark, sf, "conversations").withColumn("text", F.left("text", F.lit(60))))
+
+
+def _section_lines(turns):
+    line = F.concat(F.col("role"), F.lit(":\n"), F.replace("text", F.lit("\n"), F.lit(" ")))
+    rows = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("t"))
     got = T.section(F.col("t"), ["user:"], ["assistant:"])
     return rows.select("conv_id", (F.size(got) > 0).alias("has_user"), F.size(got).cast("long").alias("n_lines"))
 
 
+@query("""
+SELECT conv_id, regexp_extract(t, 'user:\\n((?:[^\\n]*\\n?)*?)(?:assistant:|$)', 1) <> '' AS has_user, len(list_filter(string_split(regexp_extract(t, 'user:\\n((?:[^\\n]*\\n?)*?)(?:assistant:|$)', 1), chr(10)), lambda x: trim(x, ' ') <> '')) AS n_lines
+FROM (SELECT conv_id, string_agg(role || ':' || chr(10) || replace(text, chr(10), ' '), chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
+""")
+def section_lines_all(spark, sf):
+    """Lines between two markers, of whole turns."""
+    return _section_lines(table(spark, sf, "conversations"))
+
+
 @query("""
 SELECT doc_id, len(s) AS n_sentences, len(list_filter(s, lambda x: length(x) >= 30)) AS n_long
 FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])[ \\t\\n\\r]+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x, ' ' || chr(10))), lambda x: length(x) >= 12) AS s FROM documents WHERE lang = 'en')
@@ -140,12 +153,24 @@ SELECT conv_id, count(*) AS turns, string_agg('[' || turn || '] ' || role || ':
 """)
 def conversation_context(spark, sf):
     """The turns of each conversation as one prompt context."""
-    line = F.concat(F.lit("["), F.col("turn"), F.lit("] "), F.col("role"), F.lit(": "), F.left("text", F.lit(80)))
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(
+    return _context(table(spark, sf, "conversations").withColumn("text", F.left("text", F.lit(80))))
+
+
+def _context(turns):
+    line = F.concat(F.lit("["), F.col("turn"), F.lit("] "), F.col("role"), F.lit(": "), F.col("text"))
+    return turns.groupBy("conv_id").agg(
         F.count("*").alias("turns"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("context")
     )
 
 
+@query("""
+SELECT conv_id, count(*) AS turns, string_agg('[' || turn || '] ' || role || ': ' || text, chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id
+""")
+def conversation_context_all(spark, sf):
+    """The whole turns of each conversation as one prompt context."""
+    return _context(table(spark, sf, "conversations"))
+
+
 @query("""
 SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) <> '' AS has_title, len(regexp_extract_all(html, '<a href="([^"]+)"', 1)) AS n_links,
   len(list_filter(regexp_extract_all(html, '<a href="([^"]+)"', 1), lambda x: NOT starts_with(x, '#') AND NOT regexp_matches(lower(x), '\\.(jpe?g|png|gif|webp|pdf|zip)$') AND (NOT regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*:') OR regexp_matches(x, '^https?:')))) AS n_follow FROM pages

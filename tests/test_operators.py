@@ -230,6 +230,15 @@ def test_relational_queries_take_whole_tables(spark, tmp_path):
     assert run("upsert_orders") == {(1, "h2", 40.0, "update"), (5, "h8", 8.0, "update"), (None, "h97", 2.0, "insert")}
 
 
+def test_conversations_are_read_whole(spark, tmp_path):
+    from pantrylake.plans.catalogue import queries
+
+    text = " ".join(f"word{i}" for i in range(60)) + "\nassistant: not a marker"
+    spark.createDataFrame([(1, 1, "user", text), (1, 2, "assistant", "yes")], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert queries()["conversation_context_all"](spark, str(tmp_path)).first()["context"] == f"[1] user: {text}\n[2] assistant: yes"
+    assert tuple(queries()["section_lines_all"](spark, str(tmp_path)).first()) == (1, True, 1)
+
+
 def test_neighbours_among_all_others(spark, tmp_path):
     from pantrylake.plans.catalogue import queries
 
