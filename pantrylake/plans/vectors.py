@@ -60,6 +60,17 @@ def label_pair_similarity(spark, sf):
     return a.join(b, "label").filter("vec_id < other").select("vec_id", "other", F.round(V.cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
 
 
+@query(f"""
+SELECT vec_id, other, round(s, 6) AS similarity, rank FROM (SELECT a.vec_id, b.vec_id AS other, {COSINE} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COSINE}, 9) DESC, b.vec_id) AS rank
+FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) WHERE rank <= 5
+""")
+def label_knn(spark, sf):
+    """The five nearest of all other rows of its label for every fiftieth."""
+    rows = table(spark, sf, "embeddings")
+    got = V.knn(rows.filter("vec_id % 50 = 0"), rows.withColumnRenamed("vec_id", "other"), 5, "vec_id", "other", others=True, within="label")
+    return got.select("vec_id", "other", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 @query("SELECT label, count(*) AS n, round(avg(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 5) AS mean_square FROM embeddings GROUP BY label")
 def vector_norms(spark, sf):
     return table(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(V.dot(F.col("embedding"), F.col("embedding"))), 5).alias("mean_square"))

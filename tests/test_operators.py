@@ -246,3 +246,5 @@ def test_neighbours_among_all_others(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     best = {r["vec_id"]: r["other"] for r in queries()["knn_threshold_all"](spark, str(tmp_path)).collect()}
     assert best == {0: 51, 50: 3, 150: 7}  # an odd id, an id below the query's, and none for 100
+    got = {(r["vec_id"], r["other"]): r["rank"] for r in queries()["label_knn"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 51): 1, (0, 2): 2, (0, 50): 3, (50, 2): 1, (50, 51): 2, (50, 0): 3}
