@@ -2,9 +2,10 @@
 
 Words are lower-cased runs without white space; a shingle is five words (the whole text when it has fewer).  A
 shingle's weight is 1 + ln(its count in the text) times idf = 1 + ln((N + 1) / (df + 1)) / ln(N + 1), between 1 and 2 at every
-corpus size; df is counted over all documents in a fixed table of 2^18 hash buckets, the only thing broadcast.  Each
-text gets `bands * rows` samples, is banded, and a pair counts as linked only if its exact weighted Jaccard similarity
-is at least the threshold.
+corpus size.  Each text gets `bands * rows` samples and is banded; only here df comes from a fixed table of 2^18 hash
+buckets, whose noise shifts the chance that a pair shares a band.  A pair counts as linked only if its exact weighted
+Jaccard similarity is at least the threshold, by true df: that of every shingle of a text that shares a bucket is
+counted over all documents by the shingle itself.
 
 Groups stay nearly linear: equal texts collapse to one representative by a 128-bit hash; within a band's bucket all
 members are compared with the least one.  Where a bucket is left with members of different classes, those are compared
@@ -32,6 +33,8 @@ from pantrylake.llm.common import batches, checkpointed, id_test, mix, shingles,
 from pantrylake.llm.graph import components
 
 DF_BITS = 18
+TOKEN_BITS = 27  # of the bitmap that spares shuffling shingles which no compared text holds
+TOKEN = np.uint64((1 << 48) - 1)
 DRAWS = 1 << 16
 
 
@@ -68,8 +71,18 @@ def weights(key: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return (1 + np.log(tf)) * idf[bucket(key)]
 
 
+def rarity(df: np.ndarray, total: float) -> np.ndarray:
+    """idf of shingles that df of total documents hold."""
+    return (1 + np.maximum(0, np.log((total + 1) / (df + 1))) / np.log(total + 1)).astype(np.float32)
+
+
 def frequencies(docs: DataFrame, cfg: Config) -> np.ndarray:
-    """idf of every bucket; documents are counted once for each shingle that they hold."""
+    """idf of every bucket."""
+    return rarity(*bucket_counts(docs, cfg))
+
+
+def bucket_counts(docs: DataFrame, cfg: Config) -> tuple[np.ndarray, float]:
+    """df of every bucket and the number of documents, which count once for each shingle that they hold."""
 
     def run(it):
         got, n = np.zeros(1 << DF_BITS, np.int64), 0
@@ -84,8 +97,48 @@ def frequencies(docs: DataFrame, cfg: Config) -> np.ndarray:
     df = np.zeros(1 << DF_BITS)
     inside = rows[rows.b >= 0]
     df[inside.b.to_numpy()] = inside.n.to_numpy()
-    total = max(2.0, float(rows[rows.b < 0].n.sum()))
-    return (1 + np.maximum(0, np.log((total + 1) / (df + 1))) / np.log(total + 1)).astype(np.float32)
+    return df, max(2.0, float(rows[rows.b < 0].n.sum()))
+
+
+def with_true_idf(docs: DataFrame, names: DataFrame, total: float, cfg: Config) -> DataFrame:
+    """doc_id, text and the idf of its shingles, in the order of `features`, for the ids in names(rep), by exact df."""
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).filter(id_test(names, "rep")("doc_id"))
+    texts = checkpointed(texts.join(names.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "h"]))
+
+    def each(it):
+        for rb in batches(it):
+            key = features(rb.column(2), cfg.k)[0]
+            doc = (key >> np.uint64(48)).astype(np.int64)
+            first = np.searchsorted(doc, np.arange(rb.num_rows))
+            at = pa.array(doc)
+            cols = [rb.column(0).take(at), rb.column(1).take(at), pa.array(np.arange(len(doc)) - first[doc], pa.int32()), pa.array((key & TOKEN).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "pos", "token"])
+
+    held = texts.select("doc_id", "h", "text").mapInArrow(each, "doc_id bigint, h bigint, pos int, token bigint")
+    place = F.col("token").bitwiseAND((1 << TOKEN_BITS) - 1) + 1
+    parts = held.select(place.alias("v")).groupBy(F.bitmap_bucket_number("v").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits"))
+    bits = np.zeros(1 << (TOKEN_BITS - 3), np.uint8)
+    for r in parts.toLocalIterator():
+        bits[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    wanted = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def count(it):
+        for rb in batches(it):
+            token = features(rb.column(0), cfg.k)[0] & TOKEN
+            v = token & np.uint64((1 << TOKEN_BITS) - 1)
+            hit = (wanted.value[(v >> np.uint64(3)).astype(np.intp)] >> (v & np.uint64(7)).astype(np.uint8)) & 1
+            got, n = np.unique(token[hit > 0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(n, pa.int64())], names=["token", "n"])
+
+    df = docs.select("text").mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = held.join(df, "token").groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("x"))
+    top = F.log(F.lit(total + 1))
+    idf = F.transform("x", lambda x: (1 + F.greatest(F.lit(0.0), F.log((total + 1) / (x["n"] + 1))) / top).cast("float"))
+    return checkpointed(texts.join(counts.select("doc_id", "h", idf.alias("idf")), ["doc_id", "h"]).select("doc_id", "text", "idf"))
+
+
+def true_weights(tf: np.ndarray, idf: pa.Array) -> np.ndarray:
+    return (1 + np.log(tf)) * idf.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
 
 
 def samples(key: np.ndarray, tf: np.ndarray, idf: np.ndarray, n_docs: int, cfg: Config) -> np.ndarray:
@@ -142,20 +195,16 @@ def signatures(docs: DataFrame, idf, cfg: Config) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>")
 
 
-def similarities(pairs: DataFrame, docs: DataFrame, idf, cfg: Config) -> DataFrame:
-    """The weighted Jaccard similarity of each pair (a, b)."""
-    texts = docs.select("doc_id", "text")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = texts.filter(id_test(ids, "id")("doc_id"))
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(
-        texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text")), "a"
-    )
+def similarities(pairs: DataFrame, held: DataFrame, cfg: Config) -> DataFrame:
+    """The weighted Jaccard similarity of each pair (a, b), by the idf in held."""
+    side = lambda x: held.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"), F.col("idf").alias(f"idf_{x}"))
+    both = pairs.join(side("b"), "b").join(side("a").withColumnRenamed("text_a", "text"), "a")
 
     def run(it):
         for rb in batches(it):
             n = rb.num_rows
             (ka, ta, *_), (kb, tb, *_) = features(rb.column(2), cfg.k), features(rb.column(3), cfg.k)
-            wa, wb = weights(ka, ta, idf.value).astype(np.float64), weights(kb, tb, idf.value).astype(np.float64)
+            wa, wb = true_weights(ta, rb.column(4)), true_weights(tb, rb.column(5))
             row = lambda k: (k >> np.uint64(48)).astype(np.intp)
             _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
             least = np.bincount(row(ka[ia]), np.minimum(wa[ia], wb[ib]), n)
@@ -163,12 +212,13 @@ def similarities(pairs: DataFrame, docs: DataFrame, idf, cfg: Config) -> DataFra
             sim = np.where(union > 0, least / np.maximum(union, 1e-9), 0.0)
             yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(sim)], names=["a", "b", "similarity"])
 
-    return both.select("a", "b", "text", "text_b").mapInArrow(run, "a bigint, b bigint, similarity double")
+    return both.select("a", "b", "text", "text_b", "idf_a", "idf_b").mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
 def classes(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     """doc_id and class_id, the least id of its class, for every row."""
-    idf = docs.sparkSession.sparkContext.broadcast(frequencies(docs, cfg))
+    in_buckets, total = bucket_counts(docs, cfg)
+    idf = docs.sparkSession.sparkContext.broadcast(rarity(in_buckets, total))
     sig = checkpointed(signatures(docs, idf, cfg))
     least = sig.filter("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     member = sig.join(least, ["k1", "k2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "bands", F.col("k1").isNotNull().alias("has_words"))
@@ -176,14 +226,15 @@ def classes(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     band = member.filter("bands IS NOT NULL").select("rep", F.posexplode("bands").alias("band", "bucket"))
     lead = band.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("bucket", "a")
     full = checkpointed(band.join(lead, "bucket"))
-    star = checkpointed(similarities(full.filter("rep <> a").select("a", F.col("rep").alias("b")).distinct(), docs, idf, cfg))
+    held = with_true_idf(docs, checkpointed(full.select("rep").distinct()), total, cfg)
+    star = checkpointed(similarities(full.filter("rep <> a").select("a", F.col("rep").alias("b")).distinct(), held, cfg))
     links = star.filter(F.col("similarity") >= cfg.threshold).select("a", "b")
     comp = components(links)
     apart = _apart(full.join(star.withColumnRenamed("b", "rep"), ["a", "rep"], "left"), comp)
     if not apart.isEmpty():
         reps = member.filter("bands IS NOT NULL").select("rep", "bands")
-        pairs = checkpointed(_open_pairs(apart, reps, docs, idf, cfg).join(star, ["a", "b"], "left_anti"))
-        more = checkpointed(similarities(pairs, docs, idf, cfg).filter(F.col("similarity") >= cfg.threshold).select("a", "b"))
+        pairs = checkpointed(_open_pairs(apart, reps, held, cfg).join(star, ["a", "b"], "left_anti"))
+        more = checkpointed(similarities(pairs, held, cfg).filter(F.col("similarity") >= cfg.threshold).select("a", "b"))
         if not more.isEmpty():
             comp = components(links.unionByName(more))
     return member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("class_id"))
@@ -197,14 +248,14 @@ def _apart(full: DataFrame, comp: DataFrame) -> DataFrame:
     return checkpointed(of.join(split, "bucket").distinct())
 
 
-def _shared_weights(reps: DataFrame, docs: DataFrame, idf, cfg: Config) -> DataFrame:
+def _shared_weights(reps: DataFrame, texts: DataFrame, cfg: Config) -> DataFrame:
     """rep, total weight, and the weight of shingles that it doesn't hold alone among reps."""
-    texts = docs.select("doc_id", "text").filter(id_test(reps, "rep")("doc_id")).join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+    texts = texts.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
 
     def run(it):
         for rb in batches(it):
             key, tf, *_ = features(rb.column(1), cfg.k)
-            w, doc = weights(key, tf, idf.value).astype(np.float64), (key >> np.uint64(48)).astype(np.int64)
+            w, doc = true_weights(tf, rb.column(2)), (key >> np.uint64(48)).astype(np.int64)
             ids = rb.column(0)
             token = (key & np.uint64((1 << 48) - 1)).view(np.int64)
             # A row of each text's own carries its total.
@@ -218,14 +269,14 @@ def _shared_weights(reps: DataFrame, docs: DataFrame, idf, cfg: Config) -> DataF
     return lone.groupBy("rep").agg(F.max("total").alias("total"), F.sum("w").alias("lone")).select("rep", "total", (F.col("total") - F.col("lone")).alias("shared"))
 
 
-def _open_pairs(apart: DataFrame, reps: DataFrame, docs: DataFrame, idf, cfg: Config) -> DataFrame:
+def _open_pairs(apart: DataFrame, reps: DataFrame, texts: DataFrame, cfg: Config) -> DataFrame:
     """Pairs of a bucket in different classes that no bound rules out, each from the first bucket that it shares.
 
     Equal joins on the bucket and a slice of the similarity to its least member.
     """
     t, gap, slack = cfg.threshold, 1 - cfg.threshold + 1e-6, 1e-6
     names = checkpointed(apart.select("rep").distinct())
-    held = reps.join(names, "rep", "left_semi").join(_shared_weights(names, docs, idf, cfg), "rep", "left")
+    held = reps.join(names, "rep", "left_semi").join(_shared_weights(names, texts, cfg), "rep", "left")
     # Without a total (an id that stands for several rows) nothing is ruled out.
     held = held.filter(F.col("total").isNull() | (F.col("shared") >= t * F.col("total") - slack))
     now = checkpointed(apart.join(held, "rep").withColumn("slice", F.floor(F.col("s") / gap)))

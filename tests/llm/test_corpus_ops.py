@@ -94,6 +94,31 @@ def test_classes_equal_brute_force(spark, docs):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_weights_of_compared_texts_are_by_true_df(spark, docs, monkeypatch):
+    monkeypatch.setattr(near_dup, "bucket", lambda key: np.zeros(len(key), np.intp))  # all shingles collide, as on a large corpus
+    rng = random.Random(9)
+    common = prose(rng, 60)
+    one = prose(rng, 120) + common[:20]
+    other = one[:120] + common[40:]
+    texts = [(0, " ".join(one)), (1, " ".join(other))] + [(2 + i, " ".join(prose(rng, 60) + common)) for i in range(60)]
+    df = docs([(d, t, "en") for d, t in texts]).repartition(2)
+    names = spark.createDataFrame([(0,), (1,), (5,)], "rep bigint")
+    held = {r["doc_id"]: r for r in near_dup.with_true_idf(df, names, float(len(texts)), near_dup.Config()).collect()}
+    seen = Counter()
+    token = lambda t: (near_dup.features(pa.array([t], pa.large_string()), 5)[0]).tolist()
+    for _, t in texts:
+        seen.update(token(t))
+    assert set(held) == {0, 1, 5}
+    for d, r in held.items():
+        want = near_dup.rarity(np.array([seen[x] for x in token(texts[d][1])], float), float(len(texts)))
+        assert np.allclose(r["idf"], want, atol=1e-6)
+    pair = spark.createDataFrame([(0, 1)], "a bigint, b bigint")
+    true = near_dup.similarities(pair, near_dup.with_true_idf(df, names, float(len(texts)), near_dup.Config()), near_dup.Config()).first()["similarity"]
+    flat = {d: dict.fromkeys(token(t), 1.0) for d, t in texts[:2]}
+    plain = len(flat[0].keys() & flat[1].keys()) / len(flat[0].keys() | flat[1].keys())
+    assert true > plain + 0.02  # rare shared shingles weigh more than passages that many hold
+
+
 def test_classes_of_edge_tables(docs):
     assert near_dup.classes(docs([(1, "a b c", "en")]).limit(0)).count() == 0
     got = near_dup.classes(docs([(5, "same text here", "en"), (5, "same text here", "en"), (None, "same text here", "en"), (7, None, None)])).collect()
