@@ -48,9 +48,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = spark.conf.get("spark.checkpoint.dir", None)
         if not where:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
             import tempfile
 
-            where = tempfile.mkdtemp(prefix="checkpoints-")  # only where the session names no folder, as in tests
+            where = tempfile.mkdtemp(prefix="checkpoints-")  # one machine only, as in tests
         sc.setCheckpointDir(where)
     return df.checkpoint(eager=True)
 
@@ -173,35 +175,60 @@ def batches(it, chunk_bytes: int = CHUNK_BYTES):
             yield rb.slice(i, j - i)
 
 
-ID_BITS = 1 << 23
+ID_BITS = 23
 
 
-def id_test(ids: DataFrame, col: str):
+def bitmap(values: DataFrame, col: str, bits: int) -> np.ndarray:
+    """A bitmap of the low bits of a column of hashes; its size (2^bits bits) doesn't depend on the data."""
+    at = F.col(col).bitwiseAND((1 << bits) - 1) + 1
+    parts = values.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in parts.toLocalIterator():
+        at = (r["part"] - 1) * 4096
+        got = np.frombuffer(bytes(r["bits"]), np.uint8)
+        out[at : at + 4096] = got[: len(out) - at]
+    return out
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bitmap has these hashes: never false for a value that went in, seldom true for others."""
+    v = hashes.view(np.uint64) & np.uint64(len(bits) * 8 - 1)
+    return (bits[(v >> np.uint64(3)).astype(np.intp)] >> (v & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def id_test(ids: DataFrame, col: str, bits: int = ID_BITS):
     """A map-side test for membership in ids[col], of fixed size (1 MB): never false for a member, rarely true for others.
 
     It only spares shuffling rows that cannot join; whoever uses it joins exactly afterwards.  With very many ids the
     test passes everything and the join alone decides.
     """
-    h = F.pmod(F.xxhash64(F.col(col)), F.lit(ID_BITS)) + 1
-    got = (
-        ids.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
-    )
-    bits = np.zeros(ID_BITS // 8, np.uint8)
-    for r in got:
-        at = (r["part"] - 1) * 4096
-        bits[at : at + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    shared = ids.sparkSession.sparkContext.broadcast(bits)
+    shared = ids.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64(col).alias("h")), "h", bits))
 
     @F.pandas_udf("boolean")
     def test(x: pd.Series) -> pd.Series:
-        v = x.to_numpy()
-        return pd.Series((shared.value[v >> 3] >> (v & 7).astype(np.uint8) & 1).astype(bool))
+        return pd.Series(in_bitmap(shared.value, x.to_numpy().astype(np.int64)))
+
+    return lambda c: test(F.xxhash64(F.col(c)))
+
 
-    return lambda c: test(F.pmod(F.xxhash64(F.col(c)), F.lit(ID_BITS)))
+CROWD = 1000
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, col: str = "doc_id") -> DataFrame:
-    """docs whose id isn't in ids; only rows that may be in it are shuffled."""
-    marked = docs.withColumn("_maybe", id_test(ids, col)(col))
-    rest = marked.filter("_maybe").join(ids.select(F.col(col).alias("_gone")).distinct(), F.col(col) == F.col("_gone"), "left_anti")
-    return marked.filter("NOT _maybe").unionByName(rest).drop("_maybe")
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], total: int) -> DataFrame:
+    """left joined to right, which has each key once with `n`, its rows in left (total in all).
+
+    Keys with more than CROWD rows and a 200,000th of all are fewer than 200,000: they are broadcast, so that no task gets
+    all rows of such a key; the others are dealt by their keys.
+    """
+    limit = max(CROWD, total // 200_000)
+    few = F.broadcast(right.filter(F.col("n") > limit))
+    rest = left.join(few.select(on), on, "left_anti").join(right.filter(F.col("n") <= limit), on)
+    return left.join(few, on).unionByName(rest)
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

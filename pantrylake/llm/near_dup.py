@@ -7,16 +7,21 @@ buckets, whose noise shifts the chance that a pair shares a band.  A pair counts
 Jaccard similarity is at least the threshold, by true df: that of every shingle of a text that shares a bucket is
 counted over all documents by the shingle itself.
 
-Groups stay nearly linear: equal texts collapse to one representative by a 128-bit hash; within a band's bucket all
-members are compared with the least one.  Where a bucket is left with members of different classes, those are compared
+Whatever the buckets say, idf is between 1 and 2, so a pair of similarity 0.8 has at least 2/3 by the banded weights and
+shares a band with probability 0.95 or more at every corpus size; by exact weights it is 0.9994.
+
+Groups stay nearly linear: equal texts collapse to one node, named by its least 64-bit text hash; within a band's bucket
+all members are compared with the least one.  Where a bucket is left with members of different classes, those are compared
 further whose similarity isn't ruled out by an exact bound: one minus weighted Jaccard is a metric, so members whose
 similarities to a third differ by more than 1 - threshold are too far apart; and what a text alone holds (shingles that
 no other open text has) can't be shared with anyone.  So every pair that shares a bucket is compared, is in one class
-already, or is proven to be below the threshold.
+already, or is proven to be below the threshold.  Keys with very many rows (copies of one text, one large class) are
+joined by broadcast, of which there are boundedly many (`spread_join`).
 
 Edge cases: a null, empty or white-space text is alone in its class; equal texts share a class whatever their length;
-repeated rows (equal ids) are one node and each returned; a row without id gets the class of its equals, else null; an
-empty table gives no rows; other columns are ignored.
+repeated rows are each returned; one id may stand for several texts, each of which is classed by itself; a row without id
+gets the least id of its class, else null; a very long text is one more node; an empty table gives no rows; other columns
+are ignored by `classes` and kept by `keep_one`, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,13 +34,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pantrylake.llm.common import batches, checkpointed, id_test, mix, shingles, utf8, without_ids, words_of
+from pantrylake.llm.common import batches, bitmap, checkpointed, fresh, id_test, in_bitmap, mix, shingles, spread_join, utf8, words_of
 from pantrylake.llm.graph import components
 
 DF_BITS = 18
 TOKEN_BITS = 27  # of the bitmap that spares shuffling shingles which no compared text holds
 TOKEN = np.uint64((1 << 48) - 1)
-DRAWS = 1 << 16
+DRAWS = 1 << 16  #: of each variate; a shingle's three are drawn by different bits of its hash, so 2^48 triples in all
+LOW = np.uint64(DRAWS - 1)
 
 
 @dataclass(frozen=True)
@@ -101,40 +107,32 @@ def bucket_counts(docs: DataFrame, cfg: Config) -> tuple[np.ndarray, float]:
 
 
 def with_true_idf(docs: DataFrame, names: DataFrame, total: float, cfg: Config) -> DataFrame:
-    """doc_id, text and the idf of its shingles, in the order of `features`, for the ids in names(rep), by exact df."""
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).filter(id_test(names, "rep")("doc_id"))
-    texts = checkpointed(texts.join(names.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "h"]))
+    """node, text and the idf of its shingles, in the order of `features`, for the text hashes in names(node), by exact df."""
+    texts = docs.select(F.xxhash64("text").alias("node"), "text").filter(id_test(names, "node")("node"))
+    texts = checkpointed(texts.join(names, "node", "left_semi").dropDuplicates(["node"]))
 
     def each(it):
         for rb in batches(it):
-            key = features(rb.column(2), cfg.k)[0]
+            key = features(rb.column(1), cfg.k)[0]
             doc = (key >> np.uint64(48)).astype(np.int64)
             first = np.searchsorted(doc, np.arange(rb.num_rows))
-            at = pa.array(doc)
-            cols = [rb.column(0).take(at), rb.column(1).take(at), pa.array(np.arange(len(doc)) - first[doc], pa.int32()), pa.array((key & TOKEN).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "pos", "token"])
-
-    held = texts.select("doc_id", "h", "text").mapInArrow(each, "doc_id bigint, h bigint, pos int, token bigint")
-    place = F.col("token").bitwiseAND((1 << TOKEN_BITS) - 1) + 1
-    parts = held.select(place.alias("v")).groupBy(F.bitmap_bucket_number("v").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits"))
-    bits = np.zeros(1 << (TOKEN_BITS - 3), np.uint8)
-    for r in parts.toLocalIterator():
-        bits[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    wanted = docs.sparkSession.sparkContext.broadcast(bits)
+            cols = [rb.column(0).take(pa.array(doc)), pa.array(np.arange(len(doc)) - first[doc], pa.int32()), pa.array((key & TOKEN).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "pos", "token"])
+
+    held = texts.select("node", "text").mapInArrow(each, "node bigint, pos int, token bigint")
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(held, "token", TOKEN_BITS))
 
     def count(it):
         for rb in batches(it):
             token = features(rb.column(0), cfg.k)[0] & TOKEN
-            v = token & np.uint64((1 << TOKEN_BITS) - 1)
-            hit = (wanted.value[(v >> np.uint64(3)).astype(np.intp)] >> (v & np.uint64(7)).astype(np.uint8)) & 1
-            got, n = np.unique(token[hit > 0], return_counts=True)
+            got, n = np.unique(token[in_bitmap(wanted.value, token)], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(n, pa.int64())], names=["token", "n"])
 
     df = docs.select("text").mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    counts = held.join(df, "token").groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("x"))
+    counts = held.join(df, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("x"))
     top = F.log(F.lit(total + 1))
     idf = F.transform("x", lambda x: (1 + F.greatest(F.lit(0.0), F.log((total + 1) / (x["n"] + 1))) / top).cast("float"))
-    return checkpointed(texts.join(counts.select("doc_id", "h", idf.alias("idf")), ["doc_id", "h"]).select("doc_id", "text", "idf"))
+    return checkpointed(texts.join(counts.select("node", idf.alias("idf")), "node").select("node", "text", "idf"))
 
 
 def true_weights(tf: np.ndarray, idf: pa.Array) -> np.ndarray:
@@ -153,10 +151,11 @@ def samples(key: np.ndarray, tf: np.ndarray, idf: np.ndarray, n_docs: int, cfg:
     h = key & np.uint64((1 << 48) - 1)
     logw = np.log(weights(key, tf, idf)).astype(np.float32)
     for s in range(cfg.bands * cfg.rows):
-        at = ((h * _SALT[s]) >> np.uint64(48)).astype(np.intp)
-        r, beta = _R.take(at), _BETA.take(at)
+        x = h * _SALT[s]
+        r = _R.take((x >> np.uint64(48)).astype(np.intp))
+        beta = _BETA.take((x >> np.uint64(32) & LOW).astype(np.intp))
         t = np.floor(logw / r + beta)
-        a = _LOG_C.take(at) - r * (t - beta + 1)
+        a = _LOG_C.take((x >> np.uint64(16) & LOW).astype(np.intp)) - r * (t - beta + 1)
         won = np.flatnonzero(a == np.minimum.reduceat(a, first)[rank])
         code = mix(h[won] * _SALT[s] + t[won].astype(np.int64).astype(np.uint64))
         of = rank[won]
@@ -166,11 +165,11 @@ def samples(key: np.ndarray, tf: np.ndarray, idf: np.ndarray, n_docs: int, cfg:
 
 
 def signatures(docs: DataFrame, idf, cfg: Config) -> DataFrame:
-    """doc_id, the text's 128-bit hash (null without words) and its band keys."""
+    """doc_id, row (hash of id and text), node (hash of the text), the 128-bit hash of its words (null without any) and its band keys."""
 
     def run(it):
         for rb in batches(it):
-            key, tf, _, words, woff = features(rb.column(1), cfg.k)
+            key, tf, _, words, woff = features(rb.column(3), cfg.k)
             n = rb.num_rows
             sig = samples(key, tf, idf.value, n, cfg)
             bands = np.zeros((n, cfg.bands), np.uint64)
@@ -190,14 +189,15 @@ def signatures(docs: DataFrame, idf, cfg: Config) -> DataFrame:
                 ids.append(pa.array(mix(got).view(np.int64), pa.int64(), mask=empty))
             flat = pa.array(bands.reshape(-1).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * cfg.bands, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([rb.column(0), *ids, lists], names=["doc_id", "k1", "k2", "bands"])
+            yield pa.RecordBatch.from_arrays([*rb.columns[:3], *ids, lists], names=["doc_id", "row", "node", "k1", "k2", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>")
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text").alias("node"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, row bigint, node bigint, k1 bigint, k2 bigint, bands array<bigint>")
 
 
 def similarities(pairs: DataFrame, held: DataFrame, cfg: Config) -> DataFrame:
     """The weighted Jaccard similarity of each pair (a, b), by the idf in held."""
-    side = lambda x: held.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"), F.col("idf").alias(f"idf_{x}"))
+    side = lambda x: held.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"), F.col("idf").alias(f"idf_{x}"))
     both = pairs.join(side("b"), "b").join(side("a").withColumnRenamed("text_a", "text"), "a")
 
     def run(it):
@@ -215,42 +215,52 @@ def similarities(pairs: DataFrame, held: DataFrame, cfg: Config) -> DataFrame:
     return both.select("a", "b", "text", "text_b", "idf_a", "idf_b").mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
-def classes(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """doc_id and class_id, the least id of its class, for every row."""
+def labelled(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """doc_id, row, k1 (null without words), class_id, and the row that stands for the class: of its least id, then of the least hash."""
     in_buckets, total = bucket_counts(docs, cfg)
     idf = docs.sparkSession.sparkContext.broadcast(rarity(in_buckets, total))
     sig = checkpointed(signatures(docs, idf, cfg))
-    least = sig.filter("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    member = sig.join(least, ["k1", "k2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "bands", F.col("k1").isNotNull().alias("has_words"))
-    member = checkpointed(member.withColumn("bands", F.when((F.col("doc_id") == F.col("rep")) & F.col("has_words"), F.col("bands"))))
-    band = member.filter("bands IS NOT NULL").select("rep", F.posexplode("bands").alias("band", "bucket"))
-    lead = band.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("bucket", "a")
-    full = checkpointed(band.join(lead, "bucket"))
-    held = with_true_idf(docs, checkpointed(full.select("rep").distinct()), total, cfg)
-    star = checkpointed(similarities(full.filter("rep <> a").select("a", F.col("rep").alias("b")).distinct(), held, cfg))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row")).alias("least")
+    equal = sig.filter("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("node").alias("node"), least, F.count("*").alias("n"), F.first("bands").alias("bands"))
+    equal = checkpointed(equal)
+    band = equal.select("node", F.posexplode("bands").alias("band", "bucket"))
+    lead = band.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).filter("a < z").select("bucket", "a", "n")
+    full = checkpointed(spread_join(band, checkpointed(lead), ["bucket"], equal.count() * cfg.bands).drop("n"))
+    held = with_true_idf(docs, checkpointed(full.select("node").distinct()), total, cfg)
+    star = checkpointed(similarities(full.filter("node <> a").select("a", F.col("node").alias("b")).distinct(), held, cfg))
     links = star.filter(F.col("similarity") >= cfg.threshold).select("a", "b")
     comp = components(links)
-    apart = _apart(full.join(star.withColumnRenamed("b", "rep"), ["a", "rep"], "left"), comp)
+    apart = _apart(full.join(star.withColumnRenamed("b", "node"), ["a", "node"], "left"), comp)
     if not apart.isEmpty():
-        reps = member.filter("bands IS NOT NULL").select("rep", "bands")
-        pairs = checkpointed(_open_pairs(apart, reps, held, cfg).join(star, ["a", "b"], "left_anti"))
+        pairs = checkpointed(_open_pairs(apart, equal.select("node", "bands"), held, cfg).join(star, ["a", "b"], "left_anti"))
         more = checkpointed(similarities(pairs, held, cfg).filter(F.col("similarity") >= cfg.threshold).select("a", "b"))
         if not more.isEmpty():
             comp = components(links.unionByName(more))
-    return member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("class_id"))
+    of = checkpointed(equal.select("node", "k1", "k2", "n", "least").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    first = checkpointed(of.groupBy("comp").agg(F.min("least").alias("least"), F.count("*").alias("n")))
+    named = spread_join(of.select("k1", "k2", F.col("n").alias("rows"), "comp"), first, ["comp"], of.count())
+    named = checkpointed(named.select("k1", "k2", F.col("rows").alias("n"), F.col("least.doc_id").alias("class_id"), F.col("least.row").alias("keeps")))
+    mine = spread_join(sig.filter("k1 IS NOT NULL").select("doc_id", "row", "k1", "k2"), named, ["k1", "k2"], sig.count())
+    alone = sig.filter("k1 IS NULL").select("doc_id", "row", "k1", F.col("doc_id").alias("class_id"), F.col("row").alias("keeps"))
+    return mine.select("doc_id", "row", "k1", "class_id", "keeps").unionByName(alone)
+
+
+def classes(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """doc_id and class_id, the least id of its class, for every row."""
+    return labelled(docs, cfg).select("doc_id", "class_id")
 
 
 def _apart(full: DataFrame, comp: DataFrame) -> DataFrame:
-    """band, bucket, rep, s (similarity to the bucket's least member) and comp, of buckets that hold several classes."""
-    of = full.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    of = of.select("band", "bucket", "rep", F.coalesce("similarity", F.lit(1.0)).alias("s"), F.coalesce("comp", "rep").alias("comp"))
+    """band, bucket, node, s (similarity to the bucket's least member) and comp, of buckets that hold several classes."""
+    of = full.join(comp, "node", "left")
+    of = of.select("band", "bucket", "node", F.coalesce("similarity", F.lit(1.0)).alias("s"), F.coalesce("comp", "node").alias("comp"))
     split = of.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("bucket")
     return checkpointed(of.join(split, "bucket").distinct())
 
 
 def _shared_weights(reps: DataFrame, texts: DataFrame, cfg: Config) -> DataFrame:
-    """rep, total weight, and the weight of shingles that it doesn't hold alone among reps."""
-    texts = texts.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+    """node, total weight, and the weight of shingles that it doesn't hold alone among reps."""
+    texts = texts.join(reps, "node", "left_semi")
 
     def run(it):
         for rb in batches(it):
@@ -258,15 +268,16 @@ def _shared_weights(reps: DataFrame, texts: DataFrame, cfg: Config) -> DataFrame
             w, doc = true_weights(tf, rb.column(2)), (key >> np.uint64(48)).astype(np.int64)
             ids = rb.column(0)
             token = (key & np.uint64((1 << 48) - 1)).view(np.int64)
-            # A row of each text's own carries its total.
-            own = -1 - ids.to_numpy(zero_copy_only=False).astype(np.int64)
+            # A row of each text's own carries its total; tokens have 48 bits, so no other has its sign.
+            own = ids.to_numpy(zero_copy_only=False).astype(np.int64) | np.int64(-(1 << 63))
             total = np.bincount(doc, w, rb.num_rows)
             cols = [pa.array(np.concatenate([token, own])), pa.concat_arrays([ids.take(pa.array(doc)), ids]), pa.array(np.concatenate([w, np.zeros(len(own))])), pa.array(np.concatenate([np.zeros(len(w)), total]))]
-            yield pa.RecordBatch.from_arrays(cols, names=["token", "rep", "w", "total"])
+            yield pa.RecordBatch.from_arrays(cols, names=["token", "node", "w", "total"])
 
-    rows = texts.mapInArrow(run, "token bigint, rep bigint, w double, total double")
-    lone = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("rep").alias("rep"), F.min("w").alias("w"), F.max("total").alias("total")).filter("n = 1")
-    return lone.groupBy("rep").agg(F.max("total").alias("total"), F.sum("w").alias("lone")).select("rep", "total", (F.col("total") - F.col("lone")).alias("shared"))
+    rows = texts.mapInArrow(run, "token bigint, node bigint, w double, total double")
+    lone = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("w").alias("w"), F.max("total").alias("total")).filter("n = 1")
+    # Without a total (two names that differ in their sign alone) nothing is ruled out.
+    return lone.groupBy("node").agg(F.nullif(F.max("total"), F.lit(0.0)).alias("total"), F.sum("w").alias("lone")).select("node", "total", (F.col("total") - F.col("lone")).alias("shared"))
 
 
 def _open_pairs(apart: DataFrame, reps: DataFrame, texts: DataFrame, cfg: Config) -> DataFrame:
@@ -275,22 +286,31 @@ def _open_pairs(apart: DataFrame, reps: DataFrame, texts: DataFrame, cfg: Config
     Equal joins on the bucket and a slice of the similarity to its least member.
     """
     t, gap, slack = cfg.threshold, 1 - cfg.threshold + 1e-6, 1e-6
-    names = checkpointed(apart.select("rep").distinct())
-    held = reps.join(names, "rep", "left_semi").join(_shared_weights(names, texts, cfg), "rep", "left")
-    # Without a total (an id that stands for several rows) nothing is ruled out.
+    names = checkpointed(apart.select("node").distinct())
+    held = reps.join(names, "node", "left_semi").join(_shared_weights(names, texts, cfg), "node", "left")
     held = held.filter(F.col("total").isNull() | (F.col("shared") >= t * F.col("total") - slack))
-    now = checkpointed(apart.join(held, "rep").withColumn("slice", F.floor(F.col("s") / gap)))
-    cols = ["bucket", "slice", "band", "rep", "comp", "s", "bands", "total", "shared"]
+    now = checkpointed(apart.join(held, "node").withColumn("slice", F.floor(F.col("s") / gap)))
+    cols = ["bucket", "slice", "band", "node", "comp", "s", "bands", "total", "shared"]
     one = now.select(*[F.col(c).alias(c if c in ("bucket", "slice") else f"{c}_a") for c in cols])
     near = F.explode(F.array(F.col("slice") - 1, F.col("slice"), F.col("slice") + 1)).alias("slice")
     two = now.select("bucket", near, *[F.col(c).alias(f"{c}_b") for c in cols[3:]])
     first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.col("band_a") + 1
     room = F.coalesce(F.least("shared_a", "shared_b") >= t / (1 + t) * (F.col("total_a") + F.col("total_b")) - slack, F.lit(True))
-    apart_ = (F.col("comp_a") != F.col("comp_b")) & (F.col("rep_a") < F.col("rep_b")) & (F.abs(F.col("s_a") - F.col("s_b")) <= gap)
-    return one.join(two, ["bucket", "slice"]).filter(apart_ & room & first).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    apart_ = (F.col("comp_a") != F.col("comp_b")) & (F.col("node_a") < F.col("node_b")) & (F.abs(F.col("s_a") - F.col("s_b")) <= gap)
+    return one.join(two, ["bucket", "slice"]).filter(apart_ & room & first).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """docs with one row of each class, that of the least id."""
-    gone = checkpointed(classes(docs, cfg).filter("doc_id <> class_id").select("doc_id"))
-    return without_ids(docs, gone)
+    """docs with one row of each class, that of the least id, and every row without words; other columns as they are.
+
+    Rows are told apart by id and text.  Only rows that may have to go are shuffled.
+    """
+    known = checkpointed(labelled(docs, cfg).filter("k1 IS NOT NULL").select("row", "keeps"))
+    gone = known.filter("row <> keeps").select("row")
+    again = known.groupBy("row").agg(F.count("*").alias("n")).filter("n > 1").select("row")
+    touched = checkpointed(gone.unionByName(again).distinct())
+    row, maybe = fresh(docs, "row"), fresh(docs, "maybe")
+    marked = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    marked = marked.withColumn(maybe, id_test(touched, "row")(row) & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    rest = marked.filter(maybe).join(gone.select(F.col("row").alias(row)).distinct(), row, "left_anti").dropDuplicates([row])
+    return marked.filter(~F.col(maybe)).unionByName(rest).select(*docs.columns)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pantrylake.llm import graph, near_dup, passages, quality, toxicity
-from pantrylake.llm.common import id_test, without_ids
+from pantrylake.llm.common import id_test, spread_join
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -102,8 +102,10 @@ def test_weights_of_compared_texts_are_by_true_df(spark, docs, monkeypatch):
     other = one[:120] + common[40:]
     texts = [(0, " ".join(one)), (1, " ".join(other))] + [(2 + i, " ".join(prose(rng, 60) + common)) for i in range(60)]
     df = docs([(d, t, "en") for d, t in texts]).repartition(2)
-    names = spark.createDataFrame([(0,), (1,), (5,)], "rep bigint")
-    held = {r["doc_id"]: r for r in near_dup.with_true_idf(df, names, float(len(texts)), near_dup.Config()).collect()}
+    name = {r["doc_id"]: r["node"] for r in df.select("doc_id", F.xxhash64("text").alias("node")).collect()}
+    names = spark.createDataFrame([(name[0],), (name[1],), (name[5],)], "node bigint")
+    of = {v: k for k, v in name.items()}
+    held = {of[r["node"]]: r for r in near_dup.with_true_idf(df, names, float(len(texts)), near_dup.Config()).collect()}
     seen = Counter()
     token = lambda t: (near_dup.features(pa.array([t], pa.large_string()), 5)[0]).tolist()
     for _, t in texts:
@@ -112,7 +114,7 @@ def test_weights_of_compared_texts_are_by_true_df(spark, docs, monkeypatch):
     for d, r in held.items():
         want = near_dup.rarity(np.array([seen[x] for x in token(texts[d][1])], float), float(len(texts)))
         assert np.allclose(r["idf"], want, atol=1e-6)
-    pair = spark.createDataFrame([(0, 1)], "a bigint, b bigint")
+    pair = spark.createDataFrame([(name[0], name[1])], "a bigint, b bigint")
     true = near_dup.similarities(pair, near_dup.with_true_idf(df, names, float(len(texts)), near_dup.Config()), near_dup.Config()).first()["similarity"]
     flat = {d: dict.fromkeys(token(t), 1.0) for d, t in texts[:2]}
     plain = len(flat[0].keys() & flat[1].keys()) / len(flat[0].keys() | flat[1].keys())
@@ -139,18 +141,68 @@ def test_samples_agree_as_often_as_weighted_jaccard():
     assert abs((sig[:, 0] == sig[:, 1]).mean() - want) < 0.15 and cfg.bands == 32
 
 
-def test_passages_equal_brute_force(docs):
-    texts = corpus(7) + [(900, " ".join(f"q{i % 3}" for i in range(200))), (901, " ".join(f"z{i}" for i in range(49)))]
-    got = {r["doc_id"]: r for r in passages.repeats(docs([(d, t, "en") for d, t in texts if t is None or len(t) < 9000]).repartition(2)).collect()}
-    words = {d: WORD.findall(t or "") for d, t in texts if t is None or len(t) < 9000}
-    seen = Counter(tuple(w[i : i + 50]) for w in words.values() for i in range(len(w) - 49))
-    for d, w in words.items():
-        want = {j for i in range(len(w) - 49) if seen[tuple(w[i : i + 50])] > 1 for j in range(i, i + 50)}
-        assert {j for s in (got[d]["spans"] if d in got else []) for j in range(s["start"], s["end"])} == want
-        assert (d in got) == bool(want) and (not want or got[d]["repeated_words"] == len(want))
+def brute_passages(rows):
+    """Marked words of each (id, text)."""
+    words = {k: WORD.findall(k[1] or "") for k in rows}
+    holders = {}
+    for k, w in words.items():
+        for i in range(len(w) - 49):
+            holders.setdefault(tuple(w[i : i + 50]), set()).add(k)
+    return {k: {j for i in range(len(w) - 49) if len(holders[tuple(w[i : i + 50])]) > 1 for j in range(i, i + 50)} for k, w in words.items()}
+
+
+def patched(rng, n):
+    """Texts pieced together from few passages, so that heads have many contexts."""
+    pool = [prose(rng, rng.randrange(20, 90), 50) for _ in range(8)]
+    return [(i, " ".join(w for _ in range(rng.randrange(1, 6)) for w in (rng.choice(pool)[rng.randrange(15) :] + prose(rng, rng.randrange(3), 5)))) for i in range(n)]
+
+
+@pytest.mark.parametrize("crowd", [1000, 2])
+def test_passages_equal_brute_force(docs, crowd):
+    rng = random.Random(5)
+    rows = [x for x in corpus(7) if x[1] is None or len(x[1]) < 9000] + [(900, " ".join(f"q{i % 3}" for i in range(200))), (901, " ".join(f"z{i}" for i in range(49)))]
+    rows += [(1000 + i, t) for i, t in patched(rng, 80)]
+    rows += [(1000, rows[-1][1]), (1001, rows[-1][1] + " end"), (None, rows[-2][1]), (None, rows[-3][1]), rows[-1], (2000, " ".join(["the"] * 300)), (2001, " ".join(["the"] * 120))]
+    own = [(950, " ".join(prose(rng, 60) * 2)), (950, " ".join(prose(rng, 60)))]  # one text repeats itself; another has the same id
+    rows += [*own, own[0]]
+    got = {}
+    for r in passages.repeats(docs([(d, t, "en") for d, t in rows]).repartition(3), crowd).collect():
+        got.setdefault(r["doc_id"], []).append((tuple(tuple(s) for s in r["spans"]), r["repeated_words"]))
+    want = {}
+    marks = brute_passages(set(rows))
+    for d, t in rows:
+        if m := sorted(marks[d, t]):
+            cut = [i for i in range(len(m)) if i == 0 or m[i] != m[i - 1] + 1]
+            want.setdefault(d, []).append((tuple((m[a], m[b - 1] + 1) for a, b in zip(cut, [*cut[1:], len(m)], strict=True)), len(m)))
+    assert {d: sorted(x) for d, x in got.items()} == {d: sorted(x) for d, x in want.items()} and 950 not in got
     assert passages.repeats(docs([(1, "a", "en")]).limit(0)).count() == 0
 
 
+def test_extension_reaches_what_all_windows_reach():
+    """Contexts over two words, where the best neighbours to either side often differ."""
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        n = int(rng.integers(2, 30))
+        head, rid = rng.integers(0, 2, n).astype(np.uint64), rng.integers(0, max(2, n // 2), n)
+        nl, nr = rng.integers(0, 25, n), rng.integers(0, 25, n)
+        base = rng.integers(1, 3, (2, passages.SIDE))
+        left, right = (np.where(rng.random((n, passages.SIDE)) < 0.1, 3 - base[i], base[i]).astype(np.uint32) for i in (0, 1))
+        left[np.arange(passages.SIDE) >= nl[:, None]] = 0
+        right[np.arange(passages.SIDE) >= nr[:, None]] = 0
+        got = [set() for _ in range(n)]
+        for i, a, b in zip(*passages.extended(head, rid, left, nl, right, nr), strict=True):
+            got[i] |= set(range(-a, passages.HEAD + b))
+        for i in range(n):
+            want = set()
+            for j in range(n):
+                if head[i] == head[j] and rid[i] != rid[j]:
+                    for d in range(passages.SIDE + 1):
+                        e = passages.SIDE - d
+                        if d <= min(nl[i], nl[j]) and e <= min(nr[i], nr[j]) and (left[i, :d] == left[j, :d]).all() and (right[i, :e] == right[j, :e]).all():
+                            want |= set(range(-d, passages.HEAD + e))
+            assert got[i] == want
+
+
 def toxic_rows(n=700, seed=1):
     rng = random.Random(seed)
     bad = ["grok", "zorp", "blarg", "snark"]
@@ -231,7 +283,42 @@ def test_id_filter_loses_nothing(spark):
     df = spark.range(5000).withColumnRenamed("id", "doc_id")
     ids = df.filter("doc_id % 7 = 0")
     assert df.filter(id_test(ids, "doc_id")("doc_id")).filter("doc_id % 7 = 0").count() == ids.count()
-    assert without_ids(df, ids).count() == 5000 - ids.count()
+
+
+def test_join_of_hot_keys_equals_a_plain_join(spark):
+    left = spark.range(6000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count("*").alias("n")).filter("k % 2 = 1")
+    got, want = (sorted(map(tuple, x.select("k", "id", "n").collect())) for x in (spread_join(left, right, ["k"], 6000), left.join(right, "k")))
+    assert got == want
+
+
+def test_one_row_of_each_class_stays(spark):
+    schema = "doc_id bigint, text string, _maybe string, _gone string, row int, MAYBE_ int"
+    rows = [
+        (1, "a b c d e f", "x", "y", 1, 1), (2, "something else here", "x", "y", 2, 2), (2, "a b c d e f", "x", "y", 3, 3),
+        (5, "p q r s t u", "x", "y", 4, 4), (5, "p q r s t u", "x", "y", 5, 5), (None, "p q r s t u", "x", "y", 6, 6), (None, "only here with no id", "x", "y", 7, 7),
+        (9, None, "x", "y", 8, 8), (9, None, "x", "y", 9, 9), (9, " ", "x", "y", 10, 10), (None, "", None, None, 11, None),
+    ]
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    kept = near_dup.keep_one(df)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in got) == sorted(
+        [(False, 1, "a b c d e f"), (False, 2, "something else here"), (False, 5, "p q r s t u"), (True, 0, "only here with no id"), (False, 9, ""), (False, 9, ""), (False, 9, " "), (True, 0, "")]
+    )
+    assert all(r["_maybe"] == "x" for r in got if r["doc_id"]) and near_dup.keep_one(df.limit(0)).count() == 0
+
+
+def test_near_copies_are_found_beyond_the_variates(spark, docs):
+    """Texts of more shingles than there are values of a variate, and recall of pairs just above the threshold."""
+    rng = random.Random(11)
+    long = prose(rng, 70_000, 10**6)
+    rows = [(0, " ".join(long)), (1, " ".join(w if i % 90 else f"y{i}" for i, w in enumerate(long)))]
+    for i in range(60):
+        w = prose(rng, 120)
+        rows += [(10 + 2 * i, " ".join(w)), (11 + 2 * i, " ".join(w[:40] + ["z"] + w[40:80] + ["zz"] + w[80:]))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(docs([(d, t, "en") for d, t in rows])).collect()}
+    assert got[1] == 0 and np.mean([got[11 + 2 * i] == 10 + 2 * i for i in range(60)]) >= 0.9
 
 
 @pytest.fixture(scope="module")
