@@ -3,16 +3,18 @@
 Every text is lower-cased, cut into fixed-length byte windows (the last one padded), and each window goes through
 convolutions of several widths, a ReLU, max pooling over positions and a softmax; a document's distribution is the
 normalised product of its windows' distributions.  The network is fitted on the driver over a bounded sample: at most
-`per_lang` windows for each language, drawn by a hash of the id, from the training rows only.
+`per_lang` windows for each language, drawn by a hash of the id, from the training rows only; every language of those
+rows is learnt.  A letter is a character of a Unicode category L.
 
 Edge cases: a null or empty text, or one without a letter, is `und` with score 0; a table without usable training
 rows makes every row `und`; equal probabilities go to the first language by name; repeated rows are predicted alike;
-any other columns of the input are ignored.
+any other columns of the input are ignored; a very long text is read to its end, window by window; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +25,6 @@ from pyspark.sql import functions as F
 
 from pantrylake.llm.common import crc_mod, utf8
 
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 STEP = 16  #: windows that go through the network together; their activations stay in the cache
 
@@ -35,7 +36,6 @@ class Config:
     filters: int = 8
     embed: int = 8
     per_lang: int = 700  #: bound of the training sample, windows for each language
-    max_langs: int = 256
     epochs: int = 6
     batch: int = 32
     rate: float = 0.01
@@ -70,7 +70,7 @@ class Model:
         n = len(texts)
         lower = pc.utf8_lower(pc.fill_null(texts, ""))
         data, off = utf8(lower)
-        known = np.array([bool(t) and LETTER.search(t) is not None for t in texts.to_pylist()], bool)
+        known = has_letter(texts)
         if not self.langs:
             return [UNKNOWN] * n, np.zeros(n)
         L = self.cfg.window
@@ -93,12 +93,56 @@ class Model:
         return [self.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], score
 
 
+def has_letter(texts: pa.Array) -> np.ndarray:
+    """Whether each text has a character of a category L; null has none."""
+    found = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False).copy()
+    # The pattern engine's tables may be older than Python's.
+    for i in np.flatnonzero(~found):
+        t = texts[int(i)].as_py()
+        found[i] = bool(t) and any(unicodedata.category(c)[0] == "L" for c in set(t))
+    return found
+
+
+def gradients(p: dict[str, np.ndarray], bx: np.ndarray, by: np.ndarray, cfg: Config) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross-entropy of windows bx with languages by, and its gradient by each parameter (with a little decay on `ow`)."""
+    F_, L, wide, n = cfg.filters, cfg.window, max(cfg.widths), len(bx)
+    pooled, where = [], []
+    for w in cfg.widths:
+        acc = 0
+        for j in range(w):
+            acc = acc + (p["emb"] @ p[f"w{w}"][j])[bx[:, j : L - wide + 1 + j]]
+        at = acc.argmax(axis=1)
+        pooled.append(np.take_along_axis(acc, at[:, None, :], 1)[:, 0, :] + p[f"b{w}"])
+        where.append(at)
+    h = np.concatenate(pooled, 1)
+    a = np.maximum(h, 0)
+    z = a @ p["ow"] + p["ob"]
+    z -= z.max(1, keepdims=True)
+    q = np.exp(z)
+    q /= q.sum(1, keepdims=True)
+    loss = float(-np.log(np.maximum(q[np.arange(n), by], 1e-30)).mean() + 5e-5 * (p["ow"] ** 2).sum())
+    q[np.arange(n), by] -= 1
+    q /= n
+    g = {"ow": a.T @ q + 1e-4 * p["ow"], "ob": q.sum(0), "emb": np.zeros_like(p["emb"])}
+    dh = (q @ p["ow"].T) * (h > 0)
+    for k, w in enumerate(cfg.widths):
+        d, at = dh[:, k * F_ : (k + 1) * F_], where[k]
+        g[f"b{w}"], gw = d.sum(0), np.zeros_like(p[f"w{w}"])
+        for j in range(w):
+            got = np.take_along_axis(bx, at + j, 1)  # the byte under each filter's best position
+            gw[j] = np.einsum("nf,nfe->ef", d, p["emb"][got])
+            np.add.at(g["emb"], got, d[:, :, None] * p[f"w{w}"][j].T[None])
+        g[f"w{w}"] = gw
+    return loss, g
+
+
 def train(texts: list[str], labels: list[str], cfg: Config = Config()) -> Model:
     """Fits the network with Adam on one window of each text."""
     langs = sorted(set(labels))
+    of = {x: i for i, x in enumerate(langs)}
     F_, E, L = cfg.filters, cfg.embed, cfg.window
     rng = np.random.default_rng(cfg.seed)
-    y = np.array([langs.index(x) for x in labels], dtype=np.intp)
+    y = np.array([of[x] for x in labels], dtype=np.intp)
     x = np.zeros((len(texts), L), dtype=np.intp)
     for i, t in enumerate(texts):
         raw = np.frombuffer(t.lower().encode()[:L], np.uint8)
@@ -115,34 +159,7 @@ def train(texts: list[str], labels: list[str], cfg: Config = Config()) -> Model:
         order = rng.permutation(len(x))
         for s in range(0, len(x), cfg.batch):
             rows = order[s : s + cfg.batch]
-            bx, by, n = x[rows], y[rows], len(rows)
-            pooled, where = [], []
-            for w in cfg.widths:
-                acc = 0
-                for j in range(w):
-                    acc = acc + (p["emb"] @ p[f"w{w}"][j])[bx[:, j : L - wide + 1 + j]]
-                at = acc.argmax(axis=1)
-                pooled.append(np.take_along_axis(acc, at[:, None, :], 1)[:, 0, :] + p[f"b{w}"])
-                where.append(at)
-            h = np.concatenate(pooled, 1)
-            a = np.maximum(h, 0)
-            z = a @ p["ow"] + p["ob"]
-            z -= z.max(1, keepdims=True)
-            q = np.exp(z)
-            q /= q.sum(1, keepdims=True)
-            q[np.arange(n), by] -= 1
-            q /= n
-            g = {"ow": a.T @ q + 1e-4 * p["ow"], "ob": q.sum(0), "emb": np.zeros_like(p["emb"])}
-            dh = (q @ p["ow"].T) * (h > 0)
-            for k, w in enumerate(cfg.widths):
-                d, at = dh[:, k * F_ : (k + 1) * F_], where[k]
-                g[f"b{w}"], gw = d.sum(0), np.zeros_like(p[f"w{w}"])
-                for j in range(w):
-                    got = np.take_along_axis(bx, at + j, 1)  # the byte under each filter's best position
-                    e = p["emb"][got]
-                    gw[j] = np.einsum("nf,nfe->ef", d, e)
-                    np.add.at(g["emb"], got, d[:, :, None] * p[f"w{w}"][j].T[None])
-                g[f"w{w}"] = gw
+            _, g = gradients(p, x[rows], y[rows], cfg)
             step += 1
             rate = cfg.rate * (1 - 0.9 * epoch / cfg.epochs)
             for k in p:
@@ -158,15 +175,15 @@ def train(texts: list[str], labels: list[str], cfg: Config = Config()) -> Model:
 def sample(docs: DataFrame, cfg: Config) -> tuple[list[str], list[str]]:
     """At most about per_lang windows of each language from the training rows; which ones depends on the id alone."""
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 3) != 1))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(cfg.max_langs).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return [], []
     grain = 1 << 30
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(grain * min(1.0, cfg.per_lang / n)))])
+    share = docs.sparkSession.createDataFrame([(k, int(grain * min(1.0, cfg.per_lang / n))) for k, n in counts.items()], "lang string, share bigint")
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(grain))
     start = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(12)), F.greatest(F.lit(1), F.length("text") - F.lit(cfg.window)))
     got = (
-        rows.filter(draw < F.try_element_at(share, F.col("lang")))
+        rows.join(F.broadcast(share), "lang").filter(draw < F.col("share"))
         .select("lang", F.col("doc_id").alias("id"), F.col("text").substr((start + 1).cast("int"), F.lit(cfg.window)).alias("piece"))
         .orderBy("lang", "id", "piece")
         .limit(2 * cfg.per_lang * len(counts))
