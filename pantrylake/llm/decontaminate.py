@@ -6,16 +6,19 @@ e + 1 pieces, of which at least one must occur exactly.  One Aho-Corasick automa
 text, and Myers' bit-parallel distance checks the windows around the hits.  The decision about a document needs
 nothing but the document and the items, so documents are never shuffled.
 
-Items come in blocks of a bounded size (`block_bytes`), one pass for each; only a block is ever broadcast.
+Items come in blocks of a bounded size (`block_bytes`), one pass for each; only a block is ever broadcast, and a Python
+worker builds its automaton once, not for each task.
 
 Edge cases: null and empty texts match nothing; items without a letter or digit, or null, match nothing; equal items
-are reported under each id; repeated documents are each reported; empty tables give no rows; other columns are kept by
+are reported under each id, however many documents an item is found in; repeated documents are each reported; a very long
+text is one pass of the automaton; empty tables give no rows; other columns are kept by
 `drop_contaminated` and ignored by `matches`.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from uuid import uuid4
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class Config:
     rate: float = 0.05
-    block_bytes: int = 16 << 20
+    block_bytes: int = 8 << 20
 
 
 def normalised(text: pa.Array) -> pa.Array:
@@ -46,16 +49,14 @@ class Matcher:
 
         self.items = []
         pieces: dict[str, list[tuple[int, int]]] = {}
-        for item_id, text in items:
-            p = padded(normalised(pa.array([text], pa.large_string()))[0].as_py())
+        self.masks: dict[int, dict[str, int]] = {}
+        for (item_id, _), text in zip(items, normalised(pa.array([t for _, t in items], pa.large_string())).to_pylist(), strict=True):
+            p = padded(text)
             if not p.strip():
                 continue
             m, e = len(p), int(rate * len(p))
-            masks: dict[str, int] = {}
-            for i, ch in enumerate(p):
-                masks[ch] = masks.get(ch, 0) | 1 << i
             k = len(self.items)
-            self.items.append((item_id, p, e, masks))
+            self.items.append((item_id, p, e))
             cuts = [m * i // (e + 1) for i in range(e + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 pieces.setdefault(p[a:b], []).append((k, a))
@@ -67,7 +68,12 @@ class Matcher:
 
     def best(self, k: int, text: str, lo: int, hi: int) -> tuple[int, int]:
         """Least edit distance of item k to a substring of text[lo:hi], and where that substring ends."""
-        _, p, e, masks = self.items[k]
+        p = self.items[k][1]
+        masks = self.masks.get(k)
+        if masks is None:  # only of items that come near
+            masks = self.masks[k] = {}
+            for i, ch in enumerate(p):
+                masks[ch] = masks.get(ch, 0) | 1 << i
         m = len(p)
         full, high = (1 << m) - 1, 1 << (m - 1)
         pv, mv, score, least, end = full, 0, m, m, lo
@@ -101,7 +107,7 @@ class Matcher:
                 hits.setdefault(k, set()).add(end + 1 - n - at)
         out = {}
         for k, starts in hits.items():
-            _, p, e, _ = self.items[k]
+            _, p, e = self.items[k]
             m, best, count, window = len(p), None, 0, None
             ordered = sorted(starts)
             for i, s in enumerate(ordered):
@@ -124,6 +130,17 @@ class Matcher:
         return out
 
 
+_kept: dict[str, Matcher] = {}
+
+
+def kept_matcher(name: str, items: list[tuple[int, str]], rate: float) -> Matcher:
+    """This worker's matcher of that name; a new name drops the old one."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = Matcher(items, rate)
+    return _kept[name]
+
+
 def blocks(benchmark: DataFrame, cfg: Config):
     """The items in lists of about block_bytes at most; an item's block depends on its id."""
     rows = benchmark.filter(F.col("text").isNotNull()).select("item_id", "text")
@@ -141,8 +158,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: Config = Config()) -> Da
     for items in blocks(benchmark, cfg):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
-        def run(it, shared=shared):
-            m = Matcher(shared.value, cfg.rate)
+        def run(it, shared=shared, name=uuid4().hex):
+            m = kept_matcher(name, shared.value, cfg.rate)
             for rb in it:
                 rows = []
                 for doc_id, text in zip(rb.column(0).to_pylist(), normalised(rb.column(1)).to_pylist(), strict=True):
@@ -162,8 +179,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, cfg: Config = Confi
         shared = docs.sparkSession.sparkContext.broadcast(items)
         at = docs.columns.index("text")
 
-        def run(it, shared=shared, at=at):
-            m = Matcher(shared.value, cfg.rate)
+        def run(it, shared=shared, at=at, name=uuid4().hex):
+            m = kept_matcher(name, shared.value, cfg.rate)
             for rb in it:
                 clean = [not m.find(padded(t)) for t in normalised(rb.column(at)).to_pylist()]
                 yield rb.filter(pa.array(clean, pa.bool_()))
