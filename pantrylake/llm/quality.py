@@ -4,10 +4,11 @@ Overlapping heuristic labellers look at a text's symbols, letter case, list mark
 phrases, sentence ends and word lengths, and vote good, bad or nothing.  Expectation-maximisation over the counts of
 vote patterns in all documents estimates how reliable each labeller is and the posterior of each pattern.  A linear
 scorer over hashed word shapes and words is then fitted to the posteriors on a bounded sample of documents
-(`sample_size`, drawn by a hash of the id) and scores every whole text.  Human labels are not used.
+(`sample_size` and `sample_bytes` of text, drawn by a hash of the id) and scores every whole text.  Human labels are not used.
 
 Edge cases: a null or empty text has no features and gets the scorer's bias with every labeller silent; an empty table
-gives no rows; equal rows score alike; other columns are ignored.
+gives no rows; equal rows score alike and count as often as they occur in the votes, once in the sample; a very long text
+is one longer row; ties (a score of exactly the threshold) are good; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ ENDS[[ord(c) for c in ".?;:"]] = True
 @dataclass(frozen=True)
 class Config:
     sample_size: int = 6000  #: bound of the scorer's training sample
+    sample_bytes: int = 64 << 20
     rounds: int = 60
     epochs: int = 12
     rate: float = 1.0
@@ -200,8 +202,14 @@ def train(docs: DataFrame, cfg: Config = Config()) -> tuple[Model, np.ndarray]:
     total = int(n.sum())
     grain = 1 << 30
     part = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(31)), F.lit(grain)) < int(grain * min(1.0, cfg.sample_size / total)))
-    sample = part.orderBy("doc_id", "text").limit(2 * cfg.sample_size).collect()
-    return fit(pa.array([r["text"] for r in sample], pa.large_string()), codes, post, cfg), theta
+    # Hashes and sizes first, boundedly many; then the texts that fit into the budget.
+    part = part.withColumn("h", F.xxhash64("doc_id", "text"))
+    sized = part.groupBy("h").agg(F.first(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size")).orderBy("h").limit(2 * cfg.sample_size).collect()
+    size = np.cumsum([r["size"] for r in sized])
+    few = docs.sparkSession.createDataFrame([(r["h"],) for r, s in zip(sized, size, strict=True) if s <= cfg.sample_bytes], "h bigint")
+    got = part.join(F.broadcast(few), "h").dropDuplicates(["h"]).collect()
+    sample = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in got))
+    return fit(pa.array([t for *_, t in sample], pa.large_string()), codes, post, cfg), theta
 
 
 def score(docs: DataFrame, cfg: Config = Config()) -> DataFrame:

@@ -1,10 +1,10 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine, found through a block-max inverted index.
 
-Examples are a bounded sample of the labelled training rows, at most `per_class` of each label, drawn by a hash of the
-id.  Terms are lower-cased runs of letters and digits and the first five bytes of longer
+Examples are a bounded sample of the labelled training rows, at most `per_class` of each label and `sample_bytes` of text,
+drawn by a hash of the id.  Terms are lower-cased runs of letters and digits and the first five bytes of longer
 ones; the vector space keeps those that at least `min_df` examples
-hold and whose presence depends on the label (chi-square of at least `chi2`, at most `max_terms` of them), so that
-function words and chance words do not decide about neighbourhood.  Cosines in that space are exact: the index stores
+hold and whose presence depends on the label (chi-square of at least `chi2`), so that function words and chance words do
+not decide about neighbourhood; with `min_df` 1 and `chi2` 0 it keeps them all.  Cosines in that space are exact: the index stores
 for each term and block of examples the greatest weight, blocks are visited by their upper bound, and the search ends
 only when no remaining block can hold a better neighbour.
 
@@ -13,7 +13,8 @@ vote is calibrated by a logistic fit on the examples' own leave-one-out votes.
 
 Edge cases: a null or empty text, or one without a known term, has no neighbours and gets the calibrated prior of such
 texts; without labelled rows of both classes the score is the labels' mean, or 0 without any; contradicting labels of
-an id count as toxic; equal cosines go by id; repeated rows score alike; other columns are ignored.
+an id count as toxic; of an id's texts one is an example; equal cosines go by id; repeated rows score alike; a very long
+text is one longer query; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ class Config:
     per_class: int = 3000  #: bound of the sample
     min_df: int = 3
     chi2: float = 20.0
-    max_terms: int = 4096
+    sample_bytes: int = 64 << 20
     block: int = 64
     k: int = 10
     eps: float = 0.05
@@ -186,18 +187,19 @@ def examples(docs: DataFrame, labels: DataFrame, cfg: Config) -> tuple[list, dic
     known = labels.select("doc_id", "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (crc_mod("doc_id", 4) != 2))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    draw = F.xxhash64(F.col("doc_id"), F.lit(21))
-    got = []
+    # Rows of an id and a size, boundedly many; then the texts that fit into the budget, half of it for each label.
+    sized = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(known, "doc_id")
+    sized = sized.groupBy("doc_id", "label").agg(F.min(F.struct("h", "size")).alias("one"))
+    chosen = []
     for label in sorted(totals):
-        part = known.filter(F.col("label") == label).orderBy(draw, "doc_id").limit(cfg.per_class)
-        # At most per_class narrow rows by construction.
-        got += docs.select("doc_id", "text").join(F.broadcast(part), "doc_id").select("doc_id", "text", "label").collect()
-    seen, out = set(), []
-    for r in sorted(got, key=lambda r: (r["doc_id"], r["text"] or "")):
-        if r["doc_id"] not in seen:
-            seen.add(r["doc_id"])
-            out.append((r["doc_id"], r["text"], r["label"]))
-    return out, totals
+        room = cfg.sample_bytes // 2
+        for r in sized.filter(F.col("label") == label).orderBy(F.xxhash64(F.col("doc_id"), F.lit(21)), "doc_id").limit(cfg.per_class).collect():
+            if r["one"]["size"] <= room:
+                room -= r["one"]["size"]
+                chosen.append((r["doc_id"], r["one"]["h"], label))
+    few = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id bigint, h bigint, label int"))
+    got = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(few, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
+    return sorted(((r["doc_id"], r["text"], r["label"]) for r in got.collect()), key=lambda r: r[0]), totals
 
 
 def train(rows: list[tuple[int, str | None, int]], totals: dict[int, int], cfg: Config = Config()) -> Model:
@@ -217,7 +219,6 @@ def train(rows: list[tuple[int, str | None, int]], totals: dict[int, int], cfg:
         a, b, c, d = pos, df - pos, n1 - pos, n - n1 - (df - pos)
         chi = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * n1 * (n - n1), 1e-9)
     keep = np.flatnonzero((df >= cfg.min_df) & (chi >= cfg.chi2))
-    keep = np.sort(keep[np.lexsort((vocab[keep], -chi[keep]))][: cfg.max_terms])
     new = np.full(len(vocab), -1)
     new[keep] = np.arange(len(keep))
     on = new[inverse] >= 0 if len(vocab) else np.zeros(0, bool)
