@@ -3,11 +3,12 @@
 Distinct words of equal length advance together: substring hashes probe the sorted piece keys, vectorised maxima keep
 the best piece ending at each position, and backpointers give the ids.  The vocabulary is a BPE one, whose library
 encoding is not the segmentation of the greatest summed score; transitions are therefore restricted to neighbouring
-pieces that BPE leaves apart (see `pieces`), so that the ids equal the library's.  Bytes of characters outside the
+pieces that BPE leaves apart (see `pieces`), others counting as minus infinity, so that the ids equal the library's.  Bytes of characters outside the
 vocabulary become byte pieces, and decoding is exact but for the vocabulary's own space mark, which reads as a space.
 
 Edge cases: null and empty texts have no ids and decode to the empty text; equal rows get equal ids; a repeated or
-missing id changes nothing; other columns are ignored.
+missing id changes nothing; a very long text or word takes linear time; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations

@@ -1,9 +1,14 @@
 """A SentencePiece BPE vocabulary as numpy tables, and the dynamic programme over its pieces.
 
 A BPE encoding is the only piece sequence in which every neighbouring pair, merged on its own, comes out as that pair.
-So a Viterbi pass over positions, restricted to pairs that stand, finds for every prefix of a word its exact encoding:
-`last` holds its final piece and `count` its length.  Words of equal length advance together; substrings are found by
-hash among the sorted piece keys.
+So a Viterbi pass over positions finds for every prefix of a word its exact encoding: pieces that end there are scored by
+the best sum before them plus their own, transitions that don't stand count as minus infinity, and the maximum over all
+pieces is kept with its backpointer (`last` holds the final piece, `count` how many there are).  As only one encoding
+stands, the maximum is that one.  Words of like length advance together, padded to the longest; substrings are found by
+hash among the sorted piece keys.  Where fewer than 64 words share a length class, each takes the same steps by itself.
+
+Behind several spaces a word's own space mark joins the run before it if it would stand alone, and is a piece's
+beginning otherwise: `lone` says which for every prefix, so that no prefix is encoded twice.
 
 Text is cut before every run of spaces: no piece has a space mark after another character, so nothing merges across.
 """
@@ -19,8 +24,8 @@ import numpy as np
 MARK = "▁"
 SEGMENT = re.compile("[ ▁]*[^ ▁]+|[ ▁]+")
 START, NONE = -1, -2
-LONG_WORD = 48  #: longer words, and lengths with few words, go one by one
-FEW = 64
+FEW = 64  #: a class of like lengths with fewer words goes one by one
+CELLS = 1 << 20  #: characters that advance together
 PAIR_BITS = 20  #: places for remembered pairs
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -221,8 +226,9 @@ class Encoder:
         out[rows] = ok
         return out
 
-    def together(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Words of one length as a matrix of code points: piece lengths by end, and counts by prefix."""
+    def together(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words as rows of code points, 0 behind their ends: for each prefix the length of its last piece, the number of its
+        pieces, and whether a mark alone comes first."""
         p = self.p
         n, L = chars.shape
         hits = []
@@ -234,34 +240,39 @@ class Encoder:
             hits.append(np.asfortranarray(np.where(p.keys[at] == h, p.key_piece[at], p.unknown if l == 1 else NONE)))
         last, count = np.full((n, L + 1), NONE, np.int32, order="F"), np.zeros((n, L + 1), np.int32, order="F")
         best, back = np.full((n, L + 1), -np.inf, order="F"), np.zeros((n, L + 1), np.int16, order="F")
+        lone = np.zeros((n, L + 1), bool, order="F")
         last[:, 0], best[:, 0] = START, 0.0
         score = np.append(p.score, 0.0)
+        mark = p.text.index(MARK)
         for e in range(1, L + 1):
-            # The longest piece first: as only one piece can end an encoding here, what has found it is done.
+            rows, lens = [], []
             for l in range(min(e, p.longest), 0, -1):
-                rows = np.flatnonzero((hits[l - 1][:, e - l] >= 0) & (last[:, e] == NONE) & (last[:, e - l] != NONE))
-                if not len(rows):
-                    continue
-                a, b = last[rows, e - l], hits[l - 1][rows, e - l]
-                new = best[rows, e - l] + score[b]
-                good = self.allowed(a, b) & (new > best[rows, e])
-                rows, b, new = rows[good], b[good], new[good]
-                best[rows, e], last[rows, e], back[rows, e] = new, b, l
-                one = np.ones(len(rows), np.int32)
-                unk = np.flatnonzero(b == p.unknown)
-                if len(unk):
-                    c = chars[rows[unk], e - 1]
-                    one[unk] = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
-                count[rows, e] = count[rows, e - l] + one
-        return back, count
-
-    def alone(self, word: str) -> tuple[list[int], list[int]]:
-        """The same for one word."""
+                r = np.flatnonzero((hits[l - 1][:, e - l] >= 0) & (last[:, e - l] != NONE))
+                rows.append(r)
+                lens.append(np.full(len(r), l))
+            row, l = np.concatenate(rows), np.concatenate(lens)
+            b = np.concatenate([hits[x - 1][r, e - x] for r, x in zip(rows, range(min(e, p.longest), 0, -1), strict=True)])
+            sums = np.where(self.allowed(last[row, e - l], b), best[row, e - l] + score[b], -np.inf)
+            np.maximum.at(best[:, e], row, sums)
+            won = np.flatnonzero((sums == best[row, e]) & (sums > -np.inf))
+            row, l, b = row[won], l[won], b[won]
+            last[row, e], back[row, e] = b, l
+            one = np.ones(len(row), np.int32)
+            unk = np.flatnonzero(b == p.unknown)
+            if len(unk):
+                c = chars[row[unk], e - 1]
+                one[unk] = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+            count[row, e] = count[row, e - l] + one
+            lone[row, e] = np.where(l == e, b == mark, lone[row, e - l])
+        return back, count, lone
+
+    def alone(self, word: str) -> tuple[list[int], list[int], list[bool]]:
+        """The same for one word; as only one piece can end an encoding that stands, the first found is the maximum."""
         p = self.p
         if self.number is None:
             self.number = {t: i for i, t in enumerate(p.text)}
         n, number, memo = p.unknown, self.number, self.pair_memo
-        last, back, count = [START], [0], [0]
+        last, back, count, lone = [START], [0], [0], [False]
         for e in range(1, len(word) + 1):
             found = NONE
             for l in range(min(e, p.longest), 0, -1):
@@ -281,12 +292,14 @@ class Encoder:
                     last.append(b)
                     back.append(l)
                     count.append(count[e - l] + (len(word[e - 1].encode("utf-8", "surrogatepass")) if b == n else 1))
+                    lone.append(lone[e - l] if l < e else word[:e] == MARK)
                     break
             if found == NONE:
                 last.append(NONE)
                 back.append(0)
                 count.append(count[-1])
-        return back, count
+                lone.append(False)
+        return back, count, lone
 
     def word_ids(self, word: str, back) -> list[int]:
         out, e = [], len(word)
@@ -301,37 +314,56 @@ class Encoder:
 
     def learn(self, segments: list[str]) -> None:
         """Encodes segments not met before; a segment is a run of spaces and a word, or either alone."""
-        by_len: dict[int, list[str]] = {}
+        classes: dict[int, list[str]] = {}
         rest = []
         for s in segments:
-            if len(s) > 1 and s[0] == " " and s[1] not in " ▁" and len(s) <= LONG_WORD:
-                by_len.setdefault(len(s), []).append(s)
+            if s[0] == " " and s.lstrip(" ▁"):
+                # Lengths within an eighth of each other.
+                n = len(s.lstrip(" ▁")) + 1
+                classes.setdefault(n if n < 16 else n >> (n.bit_length() - 4) << (n.bit_length() - 4), []).append(s)
             else:
                 rest.append(s)
-        for L, words in by_len.items():
+        for words in classes.values():
             if len(words) < FEW:
                 rest += words
                 continue
-            for i in range(0, len(words), 16384):
-                part = words[i : i + 16384]
-                chars = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), L).copy()
-                chars[:, 0] = ord(MARK)
-                back, count = self.together(chars)
-                ids, n_ids = self.trace(chars, back)
-                self.add(part, ids, n_ids, np.ascontiguousarray(count[:, 1:]).reshape(-1), np.full(len(part), L))
+            words.sort(key=lambda s: len(s.lstrip(" ▁")))
+            step = max(1, min(16384, CELLS // (len(words[-1]) + 1)))
+            for i in range(0, len(words), step):
+                part = words[i : i + step]
+                cores = [MARK + s.lstrip(" ▁") for s in part]
+                size = np.array([len(c) for c in cores])
+                L = int(size.max())
+                chars = np.zeros((len(part), L), np.uint32)
+                chars[np.arange(L) < size[:, None]] = np.frombuffer("".join(cores).encode("utf-32-le", "surrogatepass"), np.uint32)
+                back, count, lone = self.together(chars)
+                ids, n_ids = self.trace(chars, back, size)
+                if all(len(s) == len(c) for s, c in zip(part, cores, strict=True)):
+                    self.add(part, ids, n_ids, np.ascontiguousarray(count[:, 1:])[np.arange(L) < size[:, None]], size)
+                    continue
+                off = np.cumsum(n_ids) - n_ids
+                for j, (s, core) in enumerate(zip(part, cores, strict=True)):
+                    m = size[j]
+                    self.led(s, len(s) - len(core) + 1, ids[off[j] : off[j] + n_ids[j]], count[j, : m + 1], lone[j, : m + 1])
         for s in rest:
             w = s.lstrip(" ▁")
             lead = len(s) - len(w)
             if not w:
-                ids, counts = self.p.run(lead), [0] + [len(self.p.run(j)) for j in range(1, lead + 1)]
-            else:
-                core = (MARK if lead else "") + w
-                back, counts = self.alone(core)
-                ids = self.word_ids(core, back)
-                if lead > 1:
-                    ids = self.p.run(lead) + ids[1:] if ids[0] == self.mark else self.p.run(lead - 1) + ids
-                    counts = self.led(lead, core, counts)
-            self.add([s], np.array(ids, np.int32), np.array([len(ids)]), np.array(counts[1:], np.int32), np.array([len(s)]))
+                ids = self.p.run(lead)
+                self.add([s], np.array(ids, np.int32), np.array([len(ids)]), np.array([len(self.p.run(j)) for j in range(1, lead + 1)], np.int32), np.array([lead]))
+                continue
+            core = (MARK if lead else "") + w
+            back, counts, lone = self.alone(core)
+            self.led(s, lead, np.array(self.word_ids(core, back), np.int32), np.array(counts, np.int32), np.array(lone))
+
+    def led(self, segment: str, lead: int, ids: np.ndarray, counts: np.ndarray, lone: np.ndarray) -> None:
+        """Adds a word behind `lead` spaces, given the encoding of the word behind one."""
+        if lead > 1:
+            run = self.p.run
+            spaces = [len(run(j)) for j in range(lead + 1)]
+            ids = np.concatenate([np.array(run(lead), np.int32), ids[1:]] if ids[0] == self.mark else [np.array(run(lead - 1), np.int32), ids])
+            counts = np.concatenate([spaces[:-1], spaces[-1:], counts[2:] + np.where(lone[2:], spaces[lead] - 1, spaces[lead - 1])])
+        self.add([segment], ids.astype(np.int32), np.array([len(ids)]), counts[1:].astype(np.int32), np.array([len(segment)]))
 
     def add(self, segments: list[str], ids: np.ndarray, n_ids: np.ndarray, counts: np.ndarray, n_chars: np.ndarray) -> None:
         self.memo.update(zip(segments, range(len(self.memo), len(self.memo) + len(segments)), strict=True))
@@ -340,20 +372,11 @@ class Encoder:
         self.flat_counts.append(counts)
         self.n_chars.append(n_chars)
 
-    def led(self, lead: int, core: str, counts) -> list[int]:
-        """Prefix counts of a word behind several spaces."""
-        run = self.p.run
-        out = [0] + [len(run(j)) for j in range(1, lead + 1)]
-        for e in range(2, len(core) + 1):
-            ids = self.word_ids(core[:e], self.alone(core[:e])[0])
-            out.append(len(run(lead)) + int(counts[e]) - 1 if ids[0] == self.mark else len(run(lead - 1)) + int(counts[e]))
-        return out
-
-    def trace(self, chars: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def trace(self, chars: np.ndarray, back: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Follows the backpointers of equal-length words together: flat ids, and how many each word has."""
         p, (n, L) = self.p, chars.shape
         owner, place, got, extra = [], [], [], []
-        e = np.full(n, L)
+        e = size.astype(np.int64)
         while True:
             rows = np.flatnonzero(e > 0)
             if not len(rows):

@@ -5,7 +5,8 @@ text's prefix counts are its words' counts on top of the sums before them.  `pre
 and `cut_for` answer how many tokens a prefix has and how long a prefix fits a budget, without encoding again.
 
 Edge cases: null and empty texts have 0 tokens and the prefix counts [0]; special strings in a text are ordinary text;
-equal rows get equal counts; a repeated or missing id changes nothing; other columns are ignored.
+equal rows get equal counts; a repeated or missing id changes nothing; a very long text or word takes linear time; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
