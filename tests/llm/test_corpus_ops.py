@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -234,6 +235,48 @@ def test_nearest_examples_are_exact():
         assert at.tolist() == best.tolist() and np.allclose(sim, full[best])
 
 
+def test_neighbours_by_cosine_from_scratch():
+    """All terms, their counts, weights and cosines by plain Python."""
+    rows = [(i, t + (" naïveté Éclair" if i % 5 == 0 else ""), y) for i, t, y in toxic_rows(120)]
+    m = toxicity.train(rows, Counter(y for *_, y in rows), toxicity.Config(min_df=1, chi2=0, block=8))
+
+    def bag(t):
+        words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())
+        return Counter([("w", w) for w in words] + [("h", w.encode()[:5]) for w in words if len(w.encode()) > 5])
+
+    bags = {i: bag(t) for i, t, _ in rows}
+    df = Counter(x for b in bags.values() for x in b)
+    n = len(rows)
+
+    def vector(b):
+        v = {x: (1 + np.log(c)) * (np.log((n + 1) / (df[x] + 1)) + 1) for x, c in b.items() if x in df}
+        size = np.sqrt(sum(w * w for w in v.values()))
+        return {x: w / size for x, w in v.items()}
+
+    held = {i: vector(b) for i, b in bags.items()}
+    queries = [t for _, t, _ in toxic_rows(40, 9)]
+    lo, hi, term, w = m.index.queries(pa.array(queries))
+    for i, t in enumerate(queries):
+        q = vector(bag(t))
+        sims = {d: sum(x * v.get(k, 0.0) for k, x in q.items()) for d, v in held.items()}
+        want = sorted((d for d in sims if sims[d] > 0), key=lambda d: (-round(sims[d], 9), d))[:10]
+        at, sim = m.index.nearest(term[lo[i] : hi[i]], w[lo[i] : hi[i]], 10)
+        assert m.index.ids[at].tolist() == want and np.allclose(sim, [sims[d] for d in want])
+        y = np.array([rows[d][2] for d in want])
+        weight = m.class_weight[y] / (1 - np.minimum(sim, 1) + 0.05)
+        assert abs(m.vote(at, sim) - ((weight * y).sum() + m.prior) / (weight.sum() + 1)) < 1e-9
+
+
+def test_examples_stay_within_their_bytes(spark, docs):
+    rows = toxic_rows(200)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    df = docs([(i, t, "en") for i, t, _ in rows] + [(i, t, "en") for i, t, _ in rows[:50]] + [(0, "another text", "en")])
+    got, totals = toxicity.examples(df, labels, toxicity.Config(sample_bytes=20_000))
+    assert sum(len(t.encode()) for _, t, _ in got) <= 20_000 and len({d for d, *_ in got}) == len(got) > 10
+    known = [y for i, _, y in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert totals == Counter(known)
+
+
 def test_toxicity(spark, docs):
     rows = toxic_rows()
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (5000, None)], "doc_id bigint, toxic int")
@@ -267,6 +310,66 @@ def test_quality(docs):
     assert quality.score(docs(rows).limit(0)).count() == 0
 
 
+def brute_votes(t):
+    words = WORD.findall(t)
+    n = len(words)
+    if not n:
+        return [1] * 8
+    low, up = sum("a" <= c <= "z" for c in t), sum("A" <= c <= "Z" for c in t)
+    lines = [x for x in t.split("\n") if x]
+    later = sum(x in lines[:i] for i, x in enumerate(lines))
+    grams = [tuple(words[i : i + 3]) for i in range(n - 2)]
+    again = sum(c for c in Counter(grams).values() if c > 1) / max(len(grams), 1)
+    spoken = [w for w in words if re.match(r"[A-Za-z\x80-\U0010ffff]", w)]
+    short = sum(len(w.encode()) <= 3 for w in spoken) / max(len(spoken), 1)
+    symbols, shouts, stops = (x * (1 / n) for x in (sum(c in "#*$%&<>" for c in t), t.count("!"), sum(c in ".?;:" for c in t)))
+    marks = sum(len(w.encode()) <= 2 and w[0] in "|-*" for w in words) * (1 / n)
+    caps, lines = up / max(up + low, 1), later / max(len(lines), 1)
+    pairs = [
+        (symbols > 0.2, symbols < 0.02), (caps > 0.4, caps < 0.2), (marks > 0.15, marks < 0.01), (shouts > 0.2, shouts < 0.02), (lines > 0.3, lines == 0),
+        (again > 0.3, again < 0.1), (stops < 0.02 and n > 30, 0.04 < stops < 0.5), (short < 0.1 and n > 30, 0.2 < short < 0.7),
+    ]
+    return [0 if bad else 2 if good else 1 for bad, good in pairs]
+
+
+def test_labellers_and_scores_equal_brute_force():
+    rng = random.Random(3)
+    word = lambda: rng.choice(["the", "a", "IT", "word", "Thing", "été", "#", "*", "|", "-", "x!", "end.", "so;", "12", "of"])
+    texts = [None, "", " \n"] + ["".join(word() + rng.choice([" ", " ", " ", "\n"]) for _ in range(rng.randrange(1, 90))) * rng.choice([1, 1, 2]) for _ in range(300)]
+    votes, (doc, dim, value) = quality.look(pa.array(texts, pa.large_string()))
+    assert votes.tolist() == [brute_votes(t or "") for t in texts]
+    # A document's features don't depend on its neighbours, and the fitted scorer is their weighted sum.
+    codes = np.unique(quality.code(votes))
+    m = quality.fit(pa.array(texts, pa.large_string()), codes, np.linspace(0, 1, len(codes)), quality.Config(epochs=1))
+    for i in range(0, len(texts), 17):
+        v, (_, d, x) = quality.look(pa.array([texts[i]], pa.large_string()))
+        assert v[0].tolist() == votes[i].tolist() and sorted(zip(d, x, strict=True)) == sorted(zip(dim[doc == i], value[doc == i], strict=True))
+        z = sum(m.weights[a] * b for a, b in zip(d, x, strict=True))
+        assert abs(z - np.bincount(doc, m.weights[dim] * value, len(texts))[i]) < 1e-9
+
+
+def test_em_equals_plain_loops():
+    rng = np.random.default_rng(2)
+    patterns, n = np.unique(rng.integers(0, 3, (400, 4)), axis=0, return_counts=True)
+    post, theta = quality.reliabilities(patterns, n.astype(float), 7)
+    p = [[0.97, 0.3, 0.05][min(sum(v == 0 for v in row), 2)] for row in patterns]
+    for _ in range(7):
+        prior = (sum(c * q for c, q in zip(n, p, strict=True)) + 1) / (n.sum() + 2)
+        t = np.full((4, 2, 3), 0.2)
+        for row, c, q in zip(patterns, n, p, strict=True):
+            for j, v in enumerate(row):
+                t[j, 0, v] += c * (1 - q)
+                t[j, 1, v] += c * q
+        t /= t.sum(2, keepdims=True)
+        p = []
+        for row in patterns:
+            a, b = 1 - prior, prior
+            for j, v in enumerate(row):
+                a, b = a * t[j, 0, v], b * t[j, 1, v]
+            p.append(b / (a + b))
+    assert np.allclose(post, p, atol=1e-9) and np.allclose(theta, t)
+
+
 def test_em_weighs_labellers():
     rng = np.random.default_rng(0)
     truth = rng.random(5000) < 0.8

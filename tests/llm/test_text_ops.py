@@ -2,6 +2,8 @@
 
 import random
 import re
+import time
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -60,6 +62,43 @@ def test_ids_equal_the_library_and_decode(pieces, library):
     assert [b.decode() for b in piece_codec.Decoder(pieces).batch(ids, off)] == [t.replace("▁", " ") for t in texts]
 
 
+def test_long_words_behind_spaces_take_linear_time(pieces, library):
+    rng = random.Random(7)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé日本語") for _ in range(20_000))
+    for text in ("x  " + word, "x " + word, word):
+        began = time.monotonic()
+        counts, _ = token_counts.prefix_table(Encoder(pieces), [text])
+        assert time.monotonic() - began < 20
+        assert all(counts[k] == len(library.encode(text[:k])) for k in (0, 1, 2, 3, 4, 5, 50, 999, 7000, len(text)))
+    # Many long words without spaces go together, behind one space or several.
+    words = ["".join(rng.choice("abcdefg日本語") for _ in range(rng.randrange(50, 300))) for _ in range(300)]
+    texts = [("  " if i % 2 else " ").join(words[i : i + 3]) for i in range(0, 300, 3)]
+    enc = Encoder(pieces)
+    ids, off = piece_codec.encode_batch(enc, texts)
+    assert [ids[off[i] : off[i + 1]].tolist() for i in range(len(texts))] == [library.encode(t) for t in texts]
+    counts, off = token_counts.prefix_table(enc, texts)
+    assert all(counts[off[i] + k] == len(library.encode(texts[i][:k])) for i in range(0, 100, 9) for k in range(0, len(texts[i]) + 1, 13))
+
+
+def test_words_one_by_one_and_together_agree(pieces):
+    enc, rng = Encoder(pieces), random.Random(8)
+    words = ["".join(rng.choice("aeinrstéß日-.") for _ in range(rng.randrange(1, 20))) for _ in range(200)]
+    size = np.array([len(w) + 1 for w in words])
+    chars = np.zeros((200, size.max()), np.uint32)
+    for i, w in enumerate(words):
+        chars[i, : size[i]] = [ord(c) for c in "▁" + w]
+    back, count, lone = enc.together(chars)
+    for i, w in enumerate(words):
+        assert [x[i, : size[i] + 1].tolist() for x in (back, count, lone)] == [list(x) for x in enc.alone("▁" + w)]
+
+
+def test_tokens_of_an_empty_table(docs):
+    none = docs(EDGE).limit(0)
+    assert token_counts.count_tokens(none).count() == token_counts.prefix_counts(none).count() == 0
+    assert piece_codec.decode(piece_codec.encode(none)).count() == 0
+    assert pii.redact(none).count() == language_id.keep_known(none).count() == repetition.judge(none).count() == 0
+
+
 def test_bounded_memo_changes_nothing(pieces, library):
     enc = Encoder(pieces, bound=50)
     for part in range(5):
@@ -155,7 +194,7 @@ def test_edit_matching_equals_brute_force():
         for _ in range(rng.randrange(5)):
             p[rng.randrange(len(p))] = rng.choice("abcdefg ")
         text = decontaminate.padded(decontaminate.normalised(pa.array([t[:60] + " " + "".join(p) + " " + t[60:]]))[0].as_py())
-        want = {k: d for k, (_, q, e, _) in enumerate(m.items) if (d := brute_distance(q, text)) <= e}
+        want = {k: d for k, (_, q, e) in enumerate(m.items) if (d := brute_distance(q, text)) <= e}
         assert {k: v[0] for k, v in m.find(text).items()} == want
 
 
@@ -255,3 +294,68 @@ def test_long_text_is_read_to_its_end(docs):
     model = language_id.train(["the thing with " * 10, "der und nicht " * 10] * 20, ["en", "de"] * 20, cfg)
     a, _ = model.predict(pa.array(["the thing with " * 3 + "der und nicht " * 400]))
     assert a == ["de"]
+
+
+def test_letters_are_those_of_category_l(docs):
+    import sys
+
+    chars = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    step = [c for i, c in enumerate(chars) if i < 0x3400 or i % 97 == 0]
+    assert language_id.has_letter(pa.array(step)).tolist() == [unicodedata.category(c)[0] == "L" for c in step]
+    assert language_id.has_letter(pa.array([None, "", "² ½ ① Ⅷ", "12é", "ʰ", "日"])).tolist() == [False, False, False, True, True, True]
+    got = language_id.identify(docs([(0, "the thing", "en"), (2, "the thing", "en"), (3, "der und", "de"), (4, "der und", "de"), (5, "² ½ ①", "en")])).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got}[5] == "und"
+
+
+def test_network_equals_plain_loops():
+    cfg = language_id.Config(window=24, filters=3, embed=4, epochs=2)
+    texts = ["the thing with a", "der und nicht schön", "les être dans où"] * 30
+    m = language_id.train(texts, ["en", "de", "fr"] * 30, cfg)
+    long = "der und nicht schön " * 3 + "the"
+    raw = np.frombuffer(long.encode(), np.uint8)
+    total = np.zeros(3)
+    for s in range(0, len(raw), cfg.window):
+        window = [*raw[s : s + cfg.window].tolist(), *[0] * (cfg.window - len(raw[s : s + cfg.window]))]
+        pooled = []
+        for k, w in enumerate(cfg.widths):
+            for f in range(cfg.filters):
+                col = k * cfg.filters + f
+                best = max(sum(float(m.emb[window[i + j]] @ m.conv[j * cfg.embed : (j + 1) * cfg.embed, col]) for j in range(w)) for i in range(cfg.window - max(cfg.widths) + 1))
+                pooled.append(max(best + float(m.bias[col]), 0.0))
+        z = np.array(pooled) @ m.out_w + m.out_b
+        total += np.maximum(z - np.log(np.exp(z).sum()), -20) * len(raw[s : s + cfg.window]) / cfg.window
+    want = np.exp(total - total.max())
+    pred, score = m.predict(pa.array([long]))
+    assert pred == [m.langs[int(want.argmax())]] and abs(score[0] - (want / want.sum()).max()) < 1e-4
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(1)
+    cfg = language_id.Config(window=12, widths=(2, 3), filters=2, embed=3)
+    p = {"emb": rng.normal(0, 0.5, (256, 3)), "ow": rng.normal(0, 0.5, (4, 3)), "ob": rng.normal(0, 0.1, 3)}
+    for w in cfg.widths:
+        p[f"w{w}"], p[f"b{w}"] = rng.normal(0, 0.5, (w, 3, 2)), rng.normal(0, 0.5, 2)
+    x, y = rng.integers(97, 105, (5, 12)), rng.integers(0, 3, 5)
+    _, g = language_id.gradients(p, x, y, cfg)
+    for name, a in p.items():
+        for at in rng.integers(0, a.size, 12) if name != "emb" else 97 * 3 + rng.integers(0, 24, 12):
+            at = np.unravel_index(int(at), a.shape)
+            was, step = a[at], 1e-6
+            a[at] = was + step
+            up = language_id.gradients(p, x, y, cfg)[0]
+            a[at] = was - step
+            down = language_id.gradients(p, x, y, cfg)[0]
+            a[at] = was
+            assert abs((up - down) / (2 * step) - g[name][at]) < 1e-5
+
+
+def test_more_than_256_languages_are_learnt(docs):
+    rows = [(i, f"lang{i % 300} word", f"l{i % 300}") for i in range(6000)]
+    texts, langs = language_id.sample(docs(rows), language_id.Config())
+    assert len(set(langs)) == 300 == len({t.split()[0] for t in texts})
+
+
+def test_an_automaton_is_built_once_a_worker():
+    items = [(1, "one item text"), (2, "another item text")]
+    m = decontaminate.kept_matcher("a", items, 0.05)
+    assert decontaminate.kept_matcher("a", items, 0.05) is m and decontaminate.kept_matcher("b", items, 0.05) is not m
