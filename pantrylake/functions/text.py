@@ -159,14 +159,16 @@ def display(quantity: Column, unit: Column, name: Column) -> Column:
 
 
 def minutes(c: Column) -> Column:
-    """ISO 8601 durations, words, or a bare number; null where nothing or zero is said."""
+    """Minutes of a whole ISO 8601 duration (days don't count), else of hours and minutes in words, else of a bare number; null
+    where nothing or a duration of zero is said."""
+    c = F.trim(c)
+    iso = r"(?i)^P(?:\d+D)?T?(?:(\d+)H)?(?:(\d+)M)?$"
 
-    def part(pattern: str, factor: int) -> Column:
-        return F.coalesce(F.regexp_extract(c, pattern, 1).try_cast("int"), F.lit(0)) * factor
+    def part(pattern: str, i: int, factor: int) -> Column:
+        return F.coalesce(F.regexp_extract(c, pattern, i).try_cast("int"), F.lit(0)) * factor
 
-    iso = F.nullif(part(r"(?i)^P.*?T(?:.*?)(\d+)H", 60) + part(r"(?i)^P.*?T(?:.*?)(\d+)M", 1), F.lit(0))
-    words = F.nullif(part(r"(?i)(\d+)\s*(?:hours?|hrs?|h)\b", 60) + part(r"(?i)(\d+)\s*(?:minutes?|mins?|m)\b", 1), F.lit(0))
-    return F.when(c.rlike("(?i)^P"), iso).when(c.rlike(r"^\s*\d+\s*$"), F.trim(c).try_cast("int")).otherwise(words)
+    words = F.nullif(part(r"(?i)(\d+)\s*(?:hours?|hrs?)\b", 1, 60) + part(r"(?i)(\d+)\s*(?:minutes?|mins?)\b", 1, 1), F.lit(0))
+    return F.when(c.rlike(iso), F.nullif(part(iso, 1, 60) + part(iso, 2, 1), F.lit(0))).otherwise(F.coalesce(words, F.when(c.rlike(r"^\d+$"), c.try_cast("int"))))
 
 
 def first_number(c: Column) -> Column:

@@ -10,22 +10,20 @@ from pyspark.sql import functions as F
 from pantrylake.functions import fixed
 from pantrylake.functions.text import collapse, has_term, tag
 
-STATE_OF_REGION = {s: r for r, states in fixed.REGIONS.items() for s in states}
-
 
 def region_of(state: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in STATE_OF_REGION.items() for x in kv]), state)
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in fixed.REGIONS.items() for x in kv]), state)
 
 
-def longest_word(text: Column, words: dict[str, str]) -> Column:
+def longest_word(text: Column, words: dict[str, list[str]]) -> Column:
     """(n, o, label, word) of the longest word in the text; the first listed among equals.
 
     One pattern finds, at every place where a word may begin, the longest one there; a literal map gives its label.
     """
     known: dict[str, tuple[int, str]] = {}
     for label, ws in words.items():
-        for w in ws.split(","):
-            known.setdefault(w.strip(), (-len(known), label))
+        for w in ws:
+            known.setdefault(w, (-len(known), label))
     any_of = "|".join(re.escape(w) for w in sorted(known, key=lambda w: (-len(w), w)))
     hits = F.regexp_extract_all(text, F.lit(f"(?<![a-z0-9])(?=({any_of})(?![a-z0-9]))"), F.lit(1))
     order = F.create_map(*[F.lit(x) for w, (o, _) in known.items() for x in (w, o)])
@@ -33,9 +31,9 @@ def longest_word(text: Column, words: dict[str, str]) -> Column:
     return F.array_max(F.transform(hits, lambda w: F.struct(F.length(w).alias("n"), F.try_element_at(order, w).alias("o"), F.try_element_at(labels, w).alias("label"), w.alias("word"))))
 
 
-def first_word(text: Column, words: dict[str, str]) -> Column:
+def first_word(text: Column, words: dict[str, list[str]]) -> Column:
     """(label, word) of the first listed word in the text."""
-    listed = [(label, w.strip()) for label, ws in words.items() for w in ws.split(",")]
+    listed = [(label, w) for label, ws in words.items() for w in ws]
     return F.coalesce(*[F.when(has_term(text, [w]), F.struct(F.lit(label).alias("label"), F.lit(w).alias("word"))) for label, w in listed])
 
 

@@ -1,4 +1,4 @@
-"""Names to canonical entities by tiers: aliases, canonical names, vectors, an injected model, or none.
+"""Names to canonical entities by tiers: aliases (in several spellings), canonical names, vectors, an injected model, or none.
 
 Each distinct normalised name is resolved once and joined back, so the tiers see a table of names rather than of rows.
 """
@@ -24,11 +24,24 @@ def alias_table(spark: SparkSession, extra: dict[str, str] | None = None) -> Dat
 
 
 def candidates(name: Column) -> Column:
-    """Spellings to try, in order: the name, without noise before or after it, and in the singular."""
-    lead = F.regexp_replace(name, r"^(?:(?:\d+(?:[./]\d+)?|" + "|".join(fixed.LEADING_NOISE) + r")\s+)+", "")
-    tail = F.trim(F.regexp_replace(lead, r"(?:\s+(?:" + "|".join(fixed.TRAILING_NOISE) + r"))+$", ""))
-    one = F.regexp_replace(tail, "(?:(?<=o)es|(?<!s)s)$", "")
-    return F.array_distinct(F.array(name, lead, tail, one))
+    """Spellings to try, in order: the name; without counts before it; without a word in front; without "as needed"; without
+    noise words; cloves, if it speaks of them; and without pounds."""
+    bare = F.regexp_replace(name, r"^(?:(?:to\s+)?(?:\d+(?:\.\d+)?|\d+\s+to\s+\d+|\d+/\d+)(?:\s+(?:" + "|".join(fixed.COUNTED) + r"))?\s+)+", "")
+    front = F.regexp_replace(bare, "^(?:" + "|".join(fixed.PREFIXES) + ") ", "")
+    words = F.filter(F.split(bare, " "), lambda w: ~w.isin(fixed.NOISE_WORDS) & (w != ""))
+    pounds = F.when((F.size(words) > 1) & F.get(words, F.lit(0)).isin("lb", "lbs"), F.array_join(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), " "))
+    tried = F.array(
+        name, bare, F.when(front != bare, front), F.when(bare.endswith(" as needed"), F.regexp_replace(bare, " as needed$", "")), F.array_join(words, " "),
+        F.when(name.rlike(r"\bcloves?\b"), F.lit("cloves")), pounds,
+    )
+    return F.array_distinct(F.filter(F.transform(tried, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
+
+
+def _keyed(table: DataFrame, name: str) -> DataFrame:
+    """One canonical for each normalised name: that of the lowest id where the table has ids, else the least."""
+    rows = table.select(normal_name(F.col(name)).alias("_try"), "canonical", *(["id"] if "id" in table.columns else []))
+    pick = F.min_by("canonical", F.struct("id", "canonical")) if "id" in rows.columns else F.min("canonical")
+    return rows.groupBy("_try").agg(pick.alias("canonical"))
 
 
 def resolve(names: DataFrame, aliases: DataFrame, masters: DataFrame, name: str = "name", vectors: DataFrame | None = None, master_vectors: DataFrame | None = None, threshold: float = 0.88) -> DataFrame:
@@ -40,10 +53,10 @@ def resolve(names: DataFrame, aliases: DataFrame, masters: DataFrame, name: str
     distinct = keyed.select("_key").filter("_key IS NOT NULL AND _key <> ''").distinct()
     tried = distinct.select("_key", F.posexplode(candidates(F.col("_key"))).alias("_pos", "_try"))
     first = F.struct("_pos", "canonical")
-    known = aliases.select(normal_name(F.col("alias")).alias("_try"), "canonical").groupBy("_try").agg(F.min("canonical").alias("canonical"))
+    known = _keyed(aliases, "alias")
     by_alias = tried.join(known, "_try").groupBy("_key").agg(F.min(first).alias("_a"))
-    own = masters.select(normal_name(F.col("canonical")).alias("_try"), "canonical").groupBy("_try").agg(F.min("canonical").alias("canonical"))
-    by_name = tried.join(own, "_try").groupBy("_key").agg(F.min(first).alias("_m"))
+    own = _keyed(masters, "canonical")
+    by_name = distinct.join(own, F.col("_key") == F.col("_try")).select("_key", F.struct(F.lit(0).alias("_pos"), "canonical").alias("_m"))
     out = distinct.join(by_alias, "_key", "left").join(by_name, "_key", "left")
     out = out.select("_key", F.coalesce("_a.canonical", "_m.canonical").alias("canonical"), F.when(F.col("_a").isNotNull(), "alias").when(F.col("_m").isNotNull(), "canonical").alias("tier"))
     out = out.withColumn("confidence", F.when(F.col("tier").isNotNull(), 1.0))

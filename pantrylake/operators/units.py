@@ -28,11 +28,11 @@ def name_key(c: Column) -> Column:
 
 
 def density(name: Column) -> Column:
-    """Grams of a cup: by name, by alias, without descriptors, and by the first listed name that ends it."""
+    """Grams of a cup: by name, by alias, without descriptors, and by the first listed name that ends either form."""
     known = F.create_map(*[F.lit(x) for kv in fixed.DENSITY.items() for x in (kv[0], float(kv[1]))])
     alias = F.create_map(*[F.lit(x) for kv in fixed.DENSITY_ALIASES.items() for x in kv])
-    stripped = F.trim(F.regexp_replace(name, r"\b(?:" + "|".join([*fixed.DESCRIPTORS, "red", "white", "green", "raw", "cooked"]) + r")\b", ""))
-    ends = F.coalesce(*[F.when(name.endswith(" " + k) | (name == k), F.lit(float(v))) for k, v in fixed.DENSITY.items()])
+    stripped = F.array_join(F.filter(F.split(name, r"\s+"), lambda w: ~w.isin(fixed.DENSITY_WORDS)), " ")
+    ends = F.coalesce(*[F.when(name.endswith(" " + k) | stripped.endswith(" " + k), F.lit(float(v))) for k, v in fixed.DENSITY.items()])
     return F.coalesce(F.try_element_at(known, name), F.try_element_at(known, F.try_element_at(alias, name)), F.try_element_at(known, stripped), ends)
 
 
@@ -50,7 +50,7 @@ def normalise(df: DataFrame, name: str = "name", quantity: str = "quantity", uni
     df = df.withColumns({"_q": q.cast("double"), "_u": unit_key(F.col(unit)), "_n": name_key(F.col(name))})
     df = df.join(F.broadcast(unit_table(df.sparkSession)), F.col("_u") == F.col("unit_key"), "left").withColumn("_d", density(F.col("_n")))
     kind, n, f = F.col("kind"), F.col("_q"), F.col("factor")
-    liquid, dense = is_liquid(F.col("_n")), F.col("_d").isNotNull()
+    liquid, dense = is_liquid(F.col("_n")) | F.col("_n").isin(fixed.POURED), F.col("_d").isNotNull()
     per = F.coalesce("_d", F.lit(fixed.GENERIC_DENSITY)) / fixed.CUP_ML
 
     def case(unq, none, blank, weight, colloquial, count, ml, grams, guess, unknown) -> Column:

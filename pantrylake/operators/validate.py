@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pantrylake.functions.fixed import NUTS
+from pantrylake.functions.fixed import NUT_NAMES
 from pantrylake.functions.text import hash_form, untranslated
 from pantrylake.operators.units import is_liquid, name_key
 
@@ -34,9 +34,10 @@ def checks(enabled: set[str] | None = None) -> list[Check]:
     mean = F.try_divide(F.aggregate(scores, F.lit(0.0), lambda a, x: a + x), F.size(scores).cast("double"))
     seen = F.flatten(F.transform(items, lambda i: F.coalesce(i["allergen_flags"], F.array().cast("array<string>"))))
     nut_free = F.array_contains(F.transform(F.coalesce("health_tags", F.array().cast("array<string>")), lambda t: F.replace(F.lower(t), F.lit("_"), F.lit("-"))), "nut-free")
-    nuts = F.exists(items, lambda i: F.lower(i["name"]).rlike("|".join(NUTS)))
+    canonical = lambda i: F.coalesce(F.nullif(i["canonical"], F.lit("")), i["name"])
+    nuts = F.exists(items, lambda i: F.coalesce(F.lower(i["name"]).isin(NUT_NAMES), F.lit(False)) | F.coalesce(F.lower(i["canonical"]).isin(NUT_NAMES), F.lit(False)))
     conflict = lambda i: (
-        ((i["canonical_unit"] == "ml") & ~is_liquid(name_key(i["name"])) & ~F.coalesce(i["conversion_method"], F.lit("")).contains("density")) | F.array_contains(i["flags"], "uom_conflict")
+        ((i["canonical_unit"] == "ml") & ~is_liquid(name_key(canonical(i))) & ~F.coalesce(i["conversion_method"], F.lit("")).isin("density_lookup", "estimated_density_lookup")) | F.array_contains(i["flags"], "uom_conflict")
     )
     unresolved = F.exists(items, lambda i: F.coalesce(F.array_contains(i["flags"], "unresolved_ingredient"), F.lit(False)))
     english = F.lower(F.coalesce(F.nullif(F.col("language"), F.lit("")), F.lit("english"))).isin("english", "en")

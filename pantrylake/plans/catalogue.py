@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pantrylake.plans import domain, quality, relational, text, vectors  # noqa: F401 - they register their queries
+from pantrylake.plans import domain, quality, records, relational, text, vectors  # noqa: F401 - they register their queries
 from pantrylake.plans.registry import ORACLES, QUERIES
 
 

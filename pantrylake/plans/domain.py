@@ -43,7 +43,7 @@ PART_MASTERS = ["gear", "plate", "small gizmo", "red_widget"]
 @query("""
 WITH n AS (SELECT p_partkey, p_name, lower(p_name) AS k, regexp_replace(lower(p_name), '^((large|small|hot|medium) )+', '') AS k2 FROM part),
 a(alias, canonical) AS (VALUES ('ring', 'metal_ring'), ('anvil', 'iron_anvil'), ('old bolt', 'antique_bolt')), c(alias, canonical) AS (VALUES ('gear', 'gear'), ('plate', 'plate'), ('small gizmo', 'small gizmo'), ('red widget', 'red_widget')),
-x AS (SELECT n.*, coalesce(a1.canonical, a2.canonical) AS ac, coalesce(c1.canonical, c2.canonical) AS cc FROM n LEFT JOIN a a1 ON k = a1.alias LEFT JOIN a a2 ON regexp_replace(k, '^((large|small) )+', '') = a2.alias LEFT JOIN c c1 ON k = c1.alias LEFT JOIN c c2 ON regexp_replace(k, '^((large|small) )+', '') = c2.alias)
+x AS (SELECT n.*, coalesce(a1.canonical, a2.canonical) AS ac, c1.canonical AS cc FROM n LEFT JOIN a a1 ON k = a1.alias LEFT JOIN a a2 ON regexp_replace(k, '^(large|small) ', '') = a2.alias LEFT JOIN c c1 ON k = c1.alias)
 SELECT p_partkey, coalesce(ac, cc) AS canonical, CASE WHEN ac IS NOT NULL THEN 'alias' WHEN cc IS NOT NULL THEN 'canonical' ELSE 'unresolved' END AS tier, CASE WHEN coalesce(ac, cc) IS NULL THEN 0.0 ELSE 1.0 END AS confidence FROM x
 """)
 def alias_cascade(spark, sf):
@@ -53,7 +53,7 @@ def alias_cascade(spark, sf):
     return R.resolve(names, aliases, masters).select("p_partkey", "canonical", "tier", "confidence")
 
 
-WORDS = {"english": "the, that, with", "german": "der, nicht, und", "french": "les, dans, pour", "spanish": "los, con, una"}
+WORDS = {"english": ["the", "that", "with"], "german": ["der", "nicht", "und"], "french": ["les", "dans", "pour"], "spanish": ["los", "con", "una"]}
 
 
 @query("""

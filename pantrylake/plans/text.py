@@ -24,19 +24,15 @@ def whitespace_collapse(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.collapse(F.col("text")).alias("flat"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) AS flat FROM documents WHERE text NOT LIKE '%&%'")
-def clean_text_documents(spark, sf):
-    """The cleaner on texts without entities; they hold no mojibake, so only white space changes."""
-    return _cleaned(table(spark, sf, "documents").filter("text NOT LIKE '%&%'"))
-
-
 def _cleaned(docs):
     return docs.select("doc_id", T.clean_text("text").alias("flat"))
 
 
-@query()
-def clean_text_all(spark, sf):
-    """The cleaner on every text; tests hold it against Python's entities on small texts, which DuckDB has no function for."""
+@query("""
+SELECT doc_id, trim(regexp_replace(replace(replace(replace(replace(text, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '[ \\t\\n\\r\\x{00A0}]+', ' ', 'g')) AS flat FROM documents
+""")
+def clean_text_documents(spark, sf):
+    """The cleaner on every text; tests hold it against Python's other entities, which DuckDB has no function for."""
     return _cleaned(table(spark, sf, "documents"))
 
 
@@ -45,33 +41,18 @@ def tag_canonical(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.tag(F.concat_ws(" - ", "p_brand", "p_type")).alias("tag"))
 
 
-@query("""
-SELECT doc_id, pos - 1 AS pos, trim(parts[pos]) AS part FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos FROM (
-  SELECT doc_id, list_filter(list_transform(CASE WHEN text LIKE '%|%' OR text LIKE '%' || chr(10) || '%' THEN string_split_regex(text, '[|\\n]') ELSE string_split(text, ',') END, lambda x: trim(x, ' ')), lambda x: x <> '') AS parts
-  FROM documents WHERE n_chars < 400 AND text NOT LIKE '[%'))
-""")
-def listify_explode(spark, sf):
-    """Texts as lists, one row an element."""
-    return _listed(table(spark, sf, "documents").filter("n_chars < 400 AND text NOT LIKE '[%'"))
-
-
 def _listed(docs):
     return docs.select("doc_id", F.posexplode(T.as_list(F.col("text"))).alias("pos", "part"))
 
 
-@query()
-def listify_all(spark, sf):
-    """Every text as a list, JSON arrays too; tests hold it against Python on small texts."""
-    return _listed(table(spark, sf, "documents"))
-
-
 @query("""
-SELECT conv_id, regexp_extract(t, 'user:\\n((?:[^\\n]*\\n?)*?)(?:assistant:|$)', 1) <> '' AS has_user, len(list_filter(string_split(regexp_extract(t, 'user:\\n((?:[^\\n]*\\n?)*?)(?:assistant:|$)', 1), chr(10)), lambda x: trim(x, ' ') <> '')) AS n_lines
-FROM (SELECT conv_id, string_agg(role || ':' || chr(10) || replace(left(text, 60), chr(10), ' '), chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
+SELECT doc_id, pos - 1 AS pos, parts[pos] AS part FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos FROM (
+  SELECT doc_id, list_filter(list_transform(CASE WHEN ltrim(text) LIKE '[%' AND json_valid(text) AND json_type(text) = 'ARRAY' THEN CAST(CAST(text AS JSON) AS VARCHAR[]) WHEN text LIKE '%|%' OR text LIKE '%' || chr(10) || '%' THEN string_split_regex(text, '[|\\n]') ELSE string_split(text, ',') END, lambda x: trim(x, ' ')), lambda x: x <> '') AS parts
+  FROM documents))
 """)
-def section_lines(spark, sf):
-    """Lines between two markers."""
-    return _section_lines(table(spark, sf, "conversations").withColumn("text", F.left("text", F.lit(60))))
+def listify_explode(spark, sf):
+    """Every text as a list, JSON arrays too; tests hold it against Python on small texts."""
+    return _listed(table(spark, sf, "documents"))
 
 
 def _section_lines(turns):
@@ -85,19 +66,11 @@ def _section_lines(turns):
 SELECT conv_id, regexp_extract(t, 'user:\\n((?:[^\\n]*\\n?)*?)(?:assistant:|$)', 1) <> '' AS has_user, len(list_filter(string_split(regexp_extract(t, 'user:\\n((?:[^\\n]*\\n?)*?)(?:assistant:|$)', 1), chr(10)), lambda x: trim(x, ' ') <> '')) AS n_lines
 FROM (SELECT conv_id, string_agg(role || ':' || chr(10) || replace(text, chr(10), ' '), chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
 """)
-def section_lines_all(spark, sf):
+def section_lines(spark, sf):
     """Lines between two markers, of whole turns."""
     return _section_lines(table(spark, sf, "conversations"))
 
 
-@query("""
-SELECT doc_id, len(s) AS n_sentences, len(list_filter(s, lambda x: length(x) >= 30)) AS n_long
-FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])[ \\t\\n\\r]+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x, ' ' || chr(10))), lambda x: length(x) >= 12) AS s FROM documents WHERE lang = 'en')
-""")
-def sentence_steps(spark, sf):
-    return _sentence_counts(table(spark, sf, "documents").filter("lang = 'en'"))
-
-
 def _sentence_counts(docs):
     rows = docs.select("doc_id", T.sentences(F.col("text")).alias("s"))
     return rows.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.size(F.filter("s", lambda x: F.length(x) >= 30)).cast("long").alias("n_long"))
@@ -107,7 +80,7 @@ def _sentence_counts(docs):
 SELECT doc_id, len(s) AS n_sentences, len(list_filter(s, lambda x: length(x) >= 30)) AS n_long
 FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])[ \\t\\n\\r]+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x, ' ' || chr(10))), lambda x: length(x) >= 12) AS s FROM documents)
 """)
-def sentence_steps_all(spark, sf):
+def sentence_steps(spark, sf):
     """Sentences of every document, whatever its language."""
     return _sentence_counts(table(spark, sf, "documents"))
 
@@ -148,14 +121,6 @@ def title_lines(spark, sf):
     return table(spark, sf, "documents").select("doc_id", (short & (T.upper_share(line) > 0.45)).alias("shouted"))
 
 
-@query("""
-SELECT conv_id, count(*) AS turns, string_agg('[' || turn || '] ' || role || ': ' || left(text, 80), chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id
-""")
-def conversation_context(spark, sf):
-    """The turns of each conversation as one prompt context."""
-    return _context(table(spark, sf, "conversations").withColumn("text", F.left("text", F.lit(80))))
-
-
 def _context(turns):
     line = F.concat(F.lit("["), F.col("turn"), F.lit("] "), F.col("role"), F.lit(": "), F.col("text"))
     return turns.groupBy("conv_id").agg(
@@ -166,7 +131,7 @@ def _context(turns):
 @query("""
 SELECT conv_id, count(*) AS turns, string_agg('[' || turn || '] ' || role || ': ' || text, chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id
 """)
-def conversation_context_all(spark, sf):
+def conversation_context(spark, sf):
     """The whole turns of each conversation as one prompt context."""
     return _context(table(spark, sf, "conversations"))
 

@@ -31,26 +31,33 @@ def envelope(df: DataFrame, source_id: str, source_type: str, content: Column, m
     )
 
 
-def read_csv(spark: SparkSession, path: str, source_id: str, sep: str = ",", source_type: str = "csv") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, source_id: str, sep: str = ",", source_type: str = "csv", multi_line: bool = False) -> DataFrame:
     """One record a row, all strings, missing cells empty, with the file and the row's place in it.
 
-    Places are counted within each file in reading order; quoted line ends stay in their cells.
+    Files are split; a row's place is its place in its split plus the rows of the splits before, which are counted first.
+    Quoted line ends need multi_line, which reads a file in one task.
     """
     from pyspark.sql import Window as W
 
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"', sep=sep, recursiveFileLookup=True).withColumn("_file", F.col("_metadata.file_path")).withColumn("_order", F.monotonically_increasing_id())
-    cols = [c for c in df.columns if c not in ("_file", "_order")]
-    df = df.withColumn("row_number", F.row_number().over(W.partitionBy("_file").orderBy("_order")))
+    df = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', sep=sep, recursiveFileLookup=True)
+    cols = df.columns
+    place = {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_order": F.monotonically_increasing_id()}
+    df = df.withColumns(place)
+    splits = df.groupBy("_file", "_block").agg(F.min("_order").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
+    splits = splits.select("_file", "_block", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    df = df.join(splits, ["_file", "_block"]).withColumn("row_number", F.col("_order") + F.col("_shift"))
     content = F.struct(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in cols])
     return envelope(df, source_id, source_type, content, F.struct("row_number", F.col("_file").alias("file_path")))
 
 
 def read_json(spark: SparkSession, path: str, source_id: str, source_type: str = "json") -> DataFrame:
-    """One record a line of JSON; what can't be parsed keeps its text under `unparsed`."""
-    df = spark.read.text(path).withColumn("v", F.try_parse_json("value"))
-    rows = envelope(df, source_id, source_type, F.struct(F.when(F.col("v").isNull(), F.col("value")).alias("unparsed")), F.struct(F.col("_metadata.file_path").alias("file_path")), F.col("value"))
-    parsed = df.filter("v IS NOT NULL").select(F.sha2(F.concat_ws("\x01", F.lit(source_id), "value"), 256).alias("record_id"), "v")
-    return rows.join(parsed, "record_id", "left").withColumn("raw_content", F.coalesce("v", "raw_content")).drop("v")
+    """One record a line of JSON; what can't be parsed keeps its text under `unparsed`.  Equal lines of a file are rows of one
+    record_id, so that ingesting them again changes nothing."""
+    file = F.col("_metadata.file_path")
+    df = spark.read.text(path).select("value", file.alias("_file"), F.try_parse_json("value").alias("v"))
+    rows = envelope(df, source_id, source_type, F.struct(F.col("value").alias("unparsed")), F.struct(F.col("_file").alias("file_path")), F.concat_ws("\x01", "_file", "value"))
+    return rows.withColumn("raw_content", F.coalesce(F.try_parse_json(F.variant_get("raw_content", "$.unparsed", "string")), F.col("raw_content")))
 
 
 def read_text(spark: SparkSession, path: str, source_id: str, source_type: str = "text") -> DataFrame:

@@ -8,9 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pantrylake.functions.fixed import CRITICAL_CODES
 
-def failure_windows(events: DataFrame, at: str = "ts", length: str = "60 minutes", slide: str = "15 minutes", at_least: int = 5, late: str = "1 hour") -> DataFrame:
-    """Windows with at least so many events; a stream also gets a watermark."""
+
+def failure_windows(
+    events: DataFrame, at: str = "ts", length: str = "60 minutes", slide: str = "15 minutes", at_least: int = 5, late: str = "1 hour", code: str | None = None, codes: list[str] = CRITICAL_CODES
+) -> DataFrame:
+    """Windows with at least so many events, with a column `code` only of those whose code is critical; a stream also gets a watermark."""
+    if code is not None:
+        events = events.filter(F.col(code).isin(codes))
     if events.isStreaming:
         events = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
     n = events.groupBy(F.window(at, length, slide)).agg(F.count("*").alias("n"))
@@ -47,10 +53,10 @@ def write_idempotent(df: DataFrame, path: str, checkpoint: str, transform: Calla
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def notify(windows: DataFrame, post: Callable[[str], None], limit: int = 100) -> int:
-    """Passes the latest alerts to an injected callback; a failing callback doesn't fail the job."""
+def notify(windows: DataFrame, post: Callable[[str], None]) -> int:
+    """Passes every alert, the latest first, to an injected callback; a failing callback doesn't fail the job."""
     sent = 0
-    for r in windows.orderBy(F.desc("start")).limit(limit).collect():
+    for r in windows.orderBy(F.desc("start")).toLocalIterator():
         try:
             post(f"{r['n']} critical failures since {r['start']}")
             sent += 1

@@ -75,12 +75,12 @@ def test_titles(spark):
     assert got == ["duplicate", "duplicate", "new", "variation", "new"]
 
 
-ITEM = "struct<name:string,quantity:double,unit:string,canonical_quantity:double,canonical_unit:string,conversion_method:string,resolution_confidence:double,uom_confidence:double,flags:array<string>,allergen_flags:array<string>>"
+ITEM = "struct<name:string,canonical:string,quantity:double,unit:string,canonical_quantity:double,canonical_unit:string,conversion_method:string,resolution_confidence:double,uom_confidence:double,flags:array<string>,allergen_flags:array<string>>"
 RECORD = f"title string, ingredients array<{ITEM}>, steps array<string>, allergen_tags array<string>, health_tags array<string>, kcal double, language string, images array<string>, duplicate_score double, canonical_id int, known boolean"
 
 
 def record(**change):
-    item = lambda n, **c: tuple({"name": n, "quantity": 1.0, "unit": "g", "canonical_quantity": 1.0, "canonical_unit": "g", "conversion_method": "weight_standard", "resolution_confidence": 1.0, "uom_confidence": 1.0, "flags": [], "allergen_flags": ["DAIRY"]} | c for _ in [0])[0]
+    item = lambda n, **c: tuple({"name": n, "canonical": None, "quantity": 1.0, "unit": "g", "canonical_quantity": 1.0, "canonical_unit": "g", "conversion_method": "weight_standard", "resolution_confidence": 1.0, "uom_confidence": 1.0, "flags": [], "allergen_flags": ["DAIRY"]} | c for _ in [0])[0]
     base = {"title": "Dal fry", "ingredients": [item("dal"), item("ghee")], "steps": ["Boil.", "Fry."], "allergen_tags": ["DAIRY"], "health_tags": [], "kcal": 200.0, "language": "en", "images": ["a.jpg"], "duplicate_score": None, "canonical_id": None, "known": False}
     got = base | change
     if "items" in got:
@@ -93,7 +93,9 @@ def test_checks(spark):
         (record(), "ACCEPTED", ""), (record(steps=[]), "REJECTED", "V01,V03"), (record(items=[("dal", {})]), "REJECTED", "V02"), (record(known=True), "REJECTED", "V09"),
         (record(title="रसम कढ़ी"), "ACCEPTED", "V10"), (record(images=[]), "ACCEPTED", "V11"), (record(items=[("dal", {}), ("oil", {"flags": ["uom_conflict"]})]), "REVIEW", "V06"),
         (record(items=[("dal", {"canonical_quantity": 0.0}), ("ghee", {})]), "REVIEW", "V04"), (record(allergen_tags=["SOY"]), "REVIEW", "V05"), (record(kcal=9000.0), "ACCEPTED", "V07"),
-        (record(health_tags=["NUT_FREE"], items=[("peanut", {}), ("salt", {})]), "REVIEW", "V05"), (record(kcal=1.0, language="fr", items=[("a", {"uom_confidence": 0.1}), ("b", {})]), "REVIEW", "V07,V08,V10"),
+        (record(health_tags=["NUT_FREE"], items=[("peanut", {}), ("salt", {})]), "REVIEW", "V05"), (record(health_tags=["NUT_FREE"], items=[("pistachio", {}), ("peanut oil", {})]), "ACCEPTED", ""), (record(health_tags=["nut-free"], items=[("kaju", {"canonical": "Cashews"}), ("dal", {})]), "REVIEW", "V05"),
+        (record(items=[("dahi", {"canonical": "yogurt", "canonical_unit": "ml"}), ("dal", {})]), "ACCEPTED", ""), (record(items=[("milk", {"canonical": "rice", "canonical_unit": "ml"}), ("dal", {})]), "REVIEW", "V06"),
+        (record(kcal=1.0, language="fr", items=[("a", {"uom_confidence": 0.1}), ("b", {})]), "REVIEW", "V07,V08,V10"),
         (record(duplicate_score=0.97), "REJECTED", "V09"), (record(title=None, steps=["a", " "]), "REJECTED", "V01,V03"),
     ]
     df = spark.createDataFrame([r for r, _, _ in rows], RECORD)
@@ -115,7 +117,7 @@ def test_record_pipeline(spark):
     got = {r["id"]: r for r in processed(spark, example_records(spark)).collect()}
     assert got[1]["state"] == "Gujarat" and got[2]["state"] == "Telangana" and got[3]["region"] == "South"
     assert got[4]["status"] == "REJECTED" and "V03" in got[4]["failure_codes"] and "V02" in got[3]["failure_codes"] and "V10" in got[5]["failure_codes"]
-    assert got[1]["ingredients"][0]["canonical_quantity"] == 120 and got[1]["ingredients"][0]["canonical"] == "rolled_oats"
+    assert got[1]["ingredients"][0]["canonical_quantity"] == 120 and got[1]["ingredients"][0]["canonical"] == "oats"
 
 
 def test_upserts(spark):
@@ -185,7 +187,7 @@ def test_streams(spark, tmp_path):
     windows = A.failure_windows(spark.read.parquet(str(tmp_path / "in")))
     assert windows.agg(F.max("n")).first()[0] == 11
     said = []
-    assert A.notify(windows, said.append, 2) == 2 and "critical failures" in said[0]
+    assert A.notify(windows, said.append) == windows.count() and "critical failures" in said[0]
 
 
 def test_text_queries_take_every_document(spark, tmp_path):
@@ -201,15 +203,15 @@ def test_text_queries_take_every_document(spark, tmp_path):
     run = lambda name: queries()[name](spark, str(tmp_path)).collect()
 
     want = {i: None if t is None else " ".join(html.unescape(t).split()) for i, t in texts.items()}
-    assert {r["doc_id"]: r["flat"] for r in run("clean_text_all")} == want
+    assert {r["doc_id"]: r["flat"] for r in run("clean_text_documents")} == want
 
     parts = {1: [texts[1]], 2: ["a, b", "c"], 3: [x.strip() for x in long.split(",")], 4: ["[not json", "x"], 5: [texts[5]], 7: ["x", "y", "z, w"]}
     got = {}
-    for r in sorted(run("listify_all"), key=lambda r: (r["doc_id"], r["pos"])):
+    for r in sorted(run("listify_explode"), key=lambda r: (r["doc_id"], r["pos"])):
         got.setdefault(r["doc_id"], []).append(r["part"])
     assert got == {i: [x for x in p if x] for i, p in parts.items()}
 
-    steps = {r["doc_id"]: r["n_sentences"] for r in run("sentence_steps_all")}
+    steps = {r["doc_id"]: r["n_sentences"] for r in run("sentence_steps")}
     assert set(steps) == set(texts) and steps[5] == 2 and steps[3] == 1
 
 
@@ -224,10 +226,10 @@ def test_relational_queries_take_whole_tables(spark, tmp_path):
     put("lineitem", [(1, 7, 1, 2, 3.0), (1, 8, 1, 1, 4.0), (11, 7, 1, 1, 5.0)], "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double")
     put("part", [(7, "bolt")], "p_partkey bigint, p_name string")
     run = lambda name: {tuple(r) for r in queries()[name](spark, str(tmp_path)).collect()}
-    assert run("detail_nested_all") == {(1, 2, "? x4; bolt x3"), (2, 0, ""), (5, 0, ""), (8, 0, ""), (97, 0, "")}
-    assert run("full_outer_all") == {(1, True), (2, False), (5, False), (8, False), (97, False), (None, True)}
-    assert run("cond_merge_orders") == {(1, "c1", 1.0, False), (2, "c2", 1.0, False), (3, "p 3", 30.0, False), (4, "c4", 2.0, False), (5, "c5", 1.0, False), (9, None, 7.0, True)}
-    assert run("upsert_orders") == {(1, "h2", 40.0, "update"), (5, "h8", 8.0, "update"), (None, "h97", 2.0, "insert")}
+    assert run("detail_nested") == {(1, 2, "? x4; bolt x3"), (2, 0, ""), (5, 0, ""), (8, 0, ""), (97, 0, "")}
+    assert run("full_outer") == {(1, True), (2, False), (5, False), (8, False), (97, False), (None, True)}
+    assert run("cond_merge_update") == {(1, "c1", 1.0, False), (2, "c2", 1.0, False), (3, "p 3", 30.0, False), (4, "c4", 2.0, False), (5, "c5", 1.0, False), (9, None, 7.0, True)}
+    assert run("upsert_merge") == {(1, "h2", 40.0, "update"), (5, "h8", 8.0, "update"), (None, "h97", 2.0, "insert")}
 
 
 def test_conversations_are_read_whole(spark, tmp_path):
@@ -235,8 +237,8 @@ def test_conversations_are_read_whole(spark, tmp_path):
 
     text = " ".join(f"word{i}" for i in range(60)) + "\nassistant: not a marker"
     spark.createDataFrame([(1, 1, "user", text), (1, 2, "assistant", "yes")], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    assert queries()["conversation_context_all"](spark, str(tmp_path)).first()["context"] == f"[1] user: {text}\n[2] assistant: yes"
-    assert tuple(queries()["section_lines_all"](spark, str(tmp_path)).first()) == (1, True, 1)
+    assert queries()["conversation_context"](spark, str(tmp_path)).first()["context"] == f"[1] user: {text}\n[2] assistant: yes"
+    assert tuple(queries()["section_lines"](spark, str(tmp_path)).first()) == (1, True, 1)
 
 
 def test_neighbours_among_all_others(spark, tmp_path):
@@ -244,7 +246,7 @@ def test_neighbours_among_all_others(spark, tmp_path):
 
     rows = [(0, [1.0, 0.0], 1), (51, [1.0, 0.01], 1), (2, [0.9, 0.1], 1), (50, [0.0, 1.0], 1), (3, [0.0, 1.0], 2), (100, [-1.0, -1.0], 3), (7, [1.0, 1.0], None), (150, [1.0, 1.0], None)]
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    best = {r["vec_id"]: r["other"] for r in queries()["knn_threshold_all"](spark, str(tmp_path)).collect()}
+    best = {r["vec_id"]: r["other"] for r in queries()["knn_threshold"](spark, str(tmp_path)).collect()}
     assert best == {0: 51, 50: 3, 150: 7}  # an odd id, an id below the query's, and none for 100
-    got = {(r["vec_id"], r["other"]): r["rank"] for r in queries()["label_knn"](spark, str(tmp_path)).collect()}
+    got = {(r["vec_id"], r["other"]): r["rank"] for r in queries()["label_pair_similarity"](spark, str(tmp_path)).collect()}
     assert got == {(0, 51): 1, (0, 2): 2, (0, 50): 3, (50, 2): 1, (50, 51): 2, (50, 0): 3}
