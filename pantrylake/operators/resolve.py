@@ -44,21 +44,24 @@ def _keyed(table: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("_try").agg(pick.alias("canonical"))
 
 
-def resolve(names: DataFrame, aliases: DataFrame, masters: DataFrame, name: str = "name", vectors: DataFrame | None = None, master_vectors: DataFrame | None = None, threshold: float = 0.88) -> DataFrame:
+def resolve(
+    names: DataFrame, aliases: DataFrame, masters: DataFrame, name: str = "name", vectors: DataFrame | None = None, master_vectors: DataFrame | None = None, threshold: float = 0.88,
+    static: DataFrame | None = None,
+) -> DataFrame:
     """names with canonical, tier and confidence.  aliases(alias, canonical); masters(canonical); vectors(key, embedding).
 
-    Alias and master tables join by hash; Spark broadcasts them when their size allows it.
+    In this order: an alias as it stands, a canonical name as it stands, an alias of `static` (or of aliases) in one of several
+    spellings, a vector.  Of several rows for a name that of the lowest id counts, where the tables have ids.  Alias and
+    master tables join by hash; Spark broadcasts them when their size allows it.
     """
     keyed = names.withColumn("_key", normal_name(F.col(name)))
     distinct = keyed.select("_key").filter("_key IS NOT NULL AND _key <> ''").distinct()
     tried = distinct.select("_key", F.posexplode(candidates(F.col("_key"))).alias("_pos", "_try"))
-    first = F.struct("_pos", "canonical")
-    known = _keyed(aliases, "alias")
-    by_alias = tried.join(known, "_try").groupBy("_key").agg(F.min(first).alias("_a"))
-    own = _keyed(masters, "canonical")
-    by_name = distinct.join(own, F.col("_key") == F.col("_try")).select("_key", F.struct(F.lit(0).alias("_pos"), "canonical").alias("_m"))
-    out = distinct.join(by_alias, "_key", "left").join(by_name, "_key", "left")
-    out = out.select("_key", F.coalesce("_a.canonical", "_m.canonical").alias("canonical"), F.when(F.col("_a").isNotNull(), "alias").when(F.col("_m").isNotNull(), "canonical").alias("tier"))
+    listed = tried.join(_keyed(aliases if static is None else static, "alias"), "_try").groupBy("_key").agg(F.min_by("canonical", "_pos").alias("_l"))
+    out = distinct.join(_keyed(aliases, "alias").select(F.col("_try").alias("_key"), F.col("canonical").alias("_a")), "_key", "left")
+    out = out.join(_keyed(masters, "canonical").select(F.col("_try").alias("_key"), F.col("canonical").alias("_m")), "_key", "left").join(listed, "_key", "left")
+    tier = F.when(F.col("_a").isNotNull(), "alias").when(F.col("_m").isNotNull(), "canonical").when(F.col("_l").isNotNull(), "alias")
+    out = out.select("_key", F.coalesce("_a", "_m", "_l").alias("canonical"), tier.alias("tier"))
     out = out.withColumn("confidence", F.when(F.col("tier").isNotNull(), 1.0))
     if vectors is not None and master_vectors is not None:
         rest = out.filter("tier IS NULL").select("_key").join(vectors.withColumnRenamed("key", "_key"), "_key")

@@ -31,9 +31,15 @@ def density(name: Column) -> Column:
     """Grams of a cup: by name, by alias, without descriptors, and by the first listed name that ends either form."""
     known = F.create_map(*[F.lit(x) for kv in fixed.DENSITY.items() for x in (kv[0], float(kv[1]))])
     alias = F.create_map(*[F.lit(x) for kv in fixed.DENSITY_ALIASES.items() for x in kv])
+    keys = F.array(*[F.struct(F.lit(f" {k}").alias("k"), F.lit(float(v)).alias("v")) for k, v in fixed.DENSITY.items()])
     stripped = F.array_join(F.filter(F.split(name, r"\s+"), lambda w: ~w.isin(fixed.DENSITY_WORDS)), " ")
-    ends = F.coalesce(*[F.when(name.endswith(" " + k) | stripped.endswith(" " + k), F.lit(float(v))) for k, v in fixed.DENSITY.items()])
-    return F.coalesce(F.try_element_at(known, name), F.try_element_at(known, F.try_element_at(alias, name)), F.try_element_at(known, stripped), ends)
+
+    def grams(b: Column) -> Column:
+        ends = F.filter(keys, lambda k: F.endswith(b["n"], k["k"]) | F.endswith(b["s"], k["k"]))
+        return F.coalesce(F.try_element_at(known, b["n"]), F.try_element_at(known, F.try_element_at(alias, b["n"])), F.try_element_at(known, b["s"]), F.get(ends, F.lit(0))["v"])
+
+    # Bound once, so that the expression stays small however many densities there are.
+    return F.get(F.transform(F.array(F.struct(name.alias("n"), stripped.alias("s"))), grams), F.lit(0))
 
 
 def is_liquid(name: Column) -> Column:

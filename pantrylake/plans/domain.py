@@ -134,7 +134,8 @@ def example_records(spark) -> DataFrame:
 def processed(spark, records: DataFrame) -> DataFrame:
     """The record pipeline: parse, resolve, convert, classify, fingerprint, judge."""
     items = records.select("id", F.posexplode("lines").alias("pos", "line")).withColumn("p", parse_line(F.col("line"))).select("id", "pos", "line", "p.*")
-    known = R.resolve(items, R.alias_table(spark), spark.createDataFrame([(m,) for m in ("rolled_oats", "milk", "bay_leaves", "chicken", "red_onion", "all_purpose_flour")], "canonical string"))
+    masters = spark.createDataFrame([(m,) for m in ("rolled_oats", "milk", "bay_leaves", "chicken", "red_onion", "all_purpose_flour")], "canonical string")
+    known = R.resolve(items, spark.createDataFrame([], "alias string, canonical string"), masters, static=R.alias_table(spark))
     converted = U.normalise(known)
     item = F.struct(
         "pos", "name", "quantity", "unit", "canonical", "canonical_quantity", "canonical_unit", F.col("method").alias("conversion_method"), F.col("confidence").alias("resolution_confidence"), "uom_confidence",
@@ -150,22 +151,49 @@ def processed(spark, records: DataFrame) -> DataFrame:
     return V.judge(rows, V.checks())
 
 
-@query()
+@query("""
+WITH e(i, state, region, family) AS (VALUES (1, 'Gujarat', 'West', NULL), (2, 'Telangana', 'South', NULL), (3, NULL, 'South', 'dosa'), (4, NULL, NULL, 'curry'), (5, NULL, NULL, NULL)),
+c(i, codes, status) AS (VALUES (1, 'V08,V11', 'ACCEPTED'), (2, 'V11', 'ACCEPTED'), (3, 'V02,V11', 'REJECTED'), (4, 'V01,V03,V08,V11', 'REJECTED'), (5, 'V10,V11', 'ACCEPTED'))
+SELECT o_orderkey AS id, state, region, family AS dish_family, codes AS failure_codes, status, q AS first_quantity FROM (
+  SELECT o_orderkey, o_orderkey % 5 + 1 AS k, CASE o_orderkey % 5 WHEN 0 THEN 80.0 * (o_custkey % 9 + 1) WHEN 1 THEN o_custkey % 9 + 1.0 WHEN 2 THEN 160.0 * (o_custkey % 9 + 1) WHEN 3 THEN o_custkey % 9 + 1.0 ELSE 240.0 * (o_custkey % 9 + 1) END AS q FROM orders
+) JOIN e ON e.i = k JOIN c ON c.i = k
+""")
 def record_pipeline(spark, sf):
-    """Parsed, resolved, converted, classified and judged example records; tests hold it against known results."""
-    from pantrylake.session import ship
+    """Every order as a record: its lines parsed, resolved, converted, classified and judged."""
+    n = (F.col("o_custkey") % 9 + 1).cast("string")
+    first = [" cup rolled oats", " g all-purpose flour (maida)", " cup red onion", " g chicken", " cup milk"]
+    rest = ["1 tsp unknown spice", "2-3 cloves (laung)", None, "salt as needed", "1 bay leaf"]
+    titles, urls, steps = ["Gujarati Dhokla", "Hyderabadi Bagara Rice", "Plain Dosa", "Chicken Curry", "रसम"], ["u/1", "u/2", "", "u/4", None], [["Mix.", "Steam."], ["Cook."], ["Spread.", "Bake."], [], ["Boil."]]
+    k = F.col("o_orderkey") % 5
+    of = lambda xs: F.coalesce(*[F.when(k == i, x) for i, x in enumerate(xs) if x is not None])
+    lists = [F.array(*[F.lit(x) for x in s]).cast("array<string>") for s in steps]
+    records = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), of([F.lit(t) for t in titles]).alias("title"), F.lit("en").alias("language"), F.array_compact(F.array(F.concat(n, of([F.lit(x) for x in first])), of([None if x is None else F.lit(x) for x in rest]))).alias("lines"),
+        of(lists).alias("steps"), F.concat(of([None if u is None else F.lit(u) for u in urls]), F.col("o_orderkey").cast("string")).alias("source_url"),
+    )
+    rows = processed(spark, records)
+    return rows.select("id", "state", "region", "dish_family", F.array_join("failure_codes", ",").alias("failure_codes"), "status", F.col("ingredients")[0]["canonical_quantity"].alias("first_quantity"))
 
-    ship(spark)
-    rows = processed(spark, example_records(spark))
-    return rows.select("id", "title", "state", "region", "state_method", "diet", "dish_family", "difficulty_level", F.array_join("failure_codes", ",").alias("failure_codes"), "status", "content_hash")
 
+KNOWN_LINES = [
+    # a line's frame -> quantity's factor and offset, unit and name, given by hand
+    ("{n} cup rolled oats", 1.0, 0.0, "cup", "rolled oats"), ("{n} to 20 (1 gram) bay leaves", 0.5, 10.0, None, "bay leaves"), ("{n}g All-purpose flour (maida)", 1.0, 0.0, "g", "All-purpose flour"),
+    ("{n}½ oz sliced white mushrooms", 1.0, 0.5, "oz", "white mushrooms"), ("{n} + 1/2 tsp fresh ginger, chopped", 1.0, 0.5, "tsp", "ginger"), ("2-{n} cloves (laung)", 0.5, 1.0, "cloves", "cloves"),
+    ("salt as needed", 0.0, None, None, "salt as needed"), ("{n} 1/4 Cups milk or water", 1.0, 0.25, "cups", "milk"),
+]
 
-@query()
+
+@query(f"""
+WITH k(i, f, o, unit, name) AS (VALUES {", ".join(f"({i}, {f}, {'NULL' if o is None else o}, {'NULL' if u is None else repr(u)}, '{n}')" for i, (_, f, o, u, n) in enumerate(KNOWN_LINES))})
+SELECT l_orderkey, l_linenumber, CAST(f * CAST(l_quantity AS INT) + o AS DOUBLE) AS quantity, unit, name FROM lineitem JOIN k ON i = (l_orderkey + l_linenumber) % {len(KNOWN_LINES)}
+""")
 def ingredient_lines(spark, sf):
-    """Quantity, unit and name of lines made from the parts table; one function call for each distinct line."""
-    lead = F.element_at(F.array(*[F.lit(x) for x, _ in LINES]), (F.col("p_partkey") % len(LINES) + 1).cast("int"))
-    distinct = table(spark, sf, "part").select(lead.alias("line")).groupBy("line").agg(F.count("*").alias("n"))
-    return distinct.withColumn("p", parse_line(F.col("line"))).select("line", "n", "p.quantity", "p.unit", "p.name")
+    """Quantity, unit and name of a line made for every row of lineitem; each distinct line is parsed once."""
+    n, at = F.col("l_quantity").cast("int").cast("string"), (F.col("l_orderkey") + F.col("l_linenumber")) % len(KNOWN_LINES)
+    text = F.coalesce(*[F.when(at == i, F.replace(F.lit(x), F.lit("{n}"), n)) for i, (x, *_) in enumerate(KNOWN_LINES)])
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", text.alias("line"))
+    parsed = rows.select("line").distinct().select("line", parse_line(F.col("line")).alias("p"))
+    return rows.join(parsed, "line").select("l_orderkey", "l_linenumber", "p.quantity", "p.unit", "p.name")
 
 
 @query("""

@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query(spark, name):
     if name not in oracle_sql():
-        assert len(queries()[name](spark, SF).columns) > 0
+        assert queries()[name](spark, SF).count() >= 0
         return
     got, want, _ = both(spark, queries()[name], oracle_sql()[name], SF)
     assert got == want

@@ -36,7 +36,7 @@ def test_units(spark):
 def test_resolution(spark):
     names = ["atta", "kadala", "  GEHUN-KA   ATTA  ", "2 cloves ((optional))", "Salt as needed", "to 2 cups water", "medium tomatoes", "rolled oats", "not a real ingredient", None, ""]
     df = spark.createDataFrame([(n,) for n in names], "name string")
-    got = {r["name"]: (r["canonical"], r["tier"]) for r in R.resolve(df, R.alias_table(spark), spark.createDataFrame([("rolled_oats",)], "canonical string")).collect()}
+    got = {r["name"]: (r["canonical"], r["tier"]) for r in R.resolve(df, spark.createDataFrame([], "alias string, canonical string"), spark.createDataFrame([("rolled_oats",)], "canonical string"), static=R.alias_table(spark)).collect()}
     want = ["whole_wheat_flour", "chickpea", "whole_wheat_flour", "clove", "salt", "water", "tomato", "rolled_oats", None, None, None]
     assert [got[n][0] for n in names] == want
     assert got["rolled oats"][1] == "canonical" and got["atta"][1] == "alias" and got[None][1] == "unresolved"
