@@ -11,7 +11,8 @@ from pantrylake.llm.common import checkpointed
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the least node of its component) for every node of edges(a, b); rounds grow with the log of a path's length.
 
-    A hub's edges are joined to one aggregated row, so that they can be dealt to many tasks.
+    A hub's edges are joined to one aggregated row, so that they can be dealt to many tasks.  Loops, repeated edges and either
+    order of a pair change nothing; edges with a null node are left out; no edges give no rows.
     """
     pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     pairs, before = checkpointed(pairs), None
