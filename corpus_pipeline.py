@@ -1,4 +1,10 @@
-"""The training-data pipeline: language, near-duplicates, benchmark leaks, personal data, then token ids."""
+"""The training-data pipeline: language, near-duplicates, benchmark leaks, personal data, then token ids.
+
+Each stage takes all rows that the one before kept, with any further columns, whatever their names.  Null, empty and
+letterless texts go in the first stage; rows are told apart by id and text, so a repeated row stays once and one id may
+stand for several texts; a row without an id is treated like any other; very long texts are read whole; an empty table
+gives no rows.
+"""
 
 from __future__ import annotations
 
