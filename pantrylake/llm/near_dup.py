@@ -1,14 +1,15 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
 Words are lower-cased runs without white space; a shingle is five words (the whole text when it has fewer).  A
-shingle's weight is 1 + ln(its count in the text) times idf = 1 + ln((N + 1) / (df + 1)) / ln(N + 1), between 1 and 2 at every
-corpus size.  Each text gets `bands * rows` samples and is banded; only here df comes from a fixed table of 2^18 hash
-buckets, whose noise shifts the chance that a pair shares a band.  A pair counts as linked only if its exact weighted
-Jaccard similarity is at least the threshold, by true df: that of every shingle of a text that shares a bucket is
-counted over all documents by the shingle itself.
+shingle's weight is 1 + ln(its count in the text) times idf.  idf is 2 for shingles that few documents hold, and falls to 1
+for one that all hold: 1 + ln(N / df) / ln(N / limit), where a shingle is frequent if df is over limit, a 16,384th of the
+summed sizes of all documents' sets of shingles.  So at every corpus size frequent means held by the same share of documents
+(about one in 65, if texts have 250 shingles), weights are the same, and fewer than 16,384 shingles are frequent.
+Their df is counted exactly; which may be frequent is told by counts in 2^18 hash buckets, which bound df from above.
 
-Whatever the buckets say, idf is between 1 and 2, so a pair of similarity 0.8 has at least 2/3 by the banded weights and
-shares a band with probability 0.95 or more at every corpus size; by exact weights it is 0.9994.
+Each text gets `bands * rows` samples by these weights and is banded.  A pair counts as linked only if its exact weighted
+Jaccard similarity, by the same weights, is at least the threshold.  At a similarity of 0.8 a pair shares a band with
+probability 0.9994 at every corpus size.
 
 Groups stay nearly linear: equal texts collapse to one node, named by its least 64-bit text hash; within a band's bucket
 all members are compared with the least one.  Where a bucket is left with members of different classes, those are compared
@@ -34,11 +35,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pantrylake.llm.common import batches, bitmap, checkpointed, fresh, id_test, in_bitmap, mix, shingles, spread_join, utf8, words_of
+from pantrylake.llm.common import batches, checkpointed, fresh, id_test, mix, shingles, spread_join, utf8, words_of
 from pantrylake.llm.graph import components
 
 DF_BITS = 18
-TOKEN_BITS = 27  # of the bitmap that spares shuffling shingles which no compared text holds
+FREQUENT = 1 << 14  #: fewer shingles than this are frequent
 TOKEN = np.uint64((1 << 48) - 1)
 DRAWS = 1 << 16  #: of each variate; a shingle's three are drawn by different bits of its hash, so 2^48 triples in all
 LOW = np.uint64(DRAWS - 1)
@@ -73,18 +74,50 @@ def bucket(key: np.ndarray) -> np.ndarray:
     return (key & np.uint64((1 << DF_BITS) - 1)).astype(np.intp)
 
 
-def weights(key: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return (1 + np.log(tf)) * idf[bucket(key)]
+@dataclass(frozen=True)
+class Idf:
+    """Frequent shingles, sorted, and their idf; it is 2 for all others."""
+
+    token: np.ndarray
+    value: np.ndarray
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        out = np.full(len(key), 2.0)
+        if len(self.token):
+            token = key & TOKEN
+            at = np.minimum(np.searchsorted(self.token, token), len(self.token) - 1)
+            hit = self.token[at] == token
+            out[hit] = self.value[at[hit]]
+        return out
+
 
+def weights(key: np.ndarray, tf: np.ndarray, idf: Idf) -> np.ndarray:
+    return (1 + np.log(tf)) * idf.of(key)
 
-def rarity(df: np.ndarray, total: float) -> np.ndarray:
+
+def rarity(df: np.ndarray, total: float, limit: float) -> np.ndarray:
     """idf of shingles that df of total documents hold."""
-    return (1 + np.maximum(0, np.log((total + 1) / (df + 1))) / np.log(total + 1)).astype(np.float32)
+    return np.where(df > limit, 1 + np.log(total / np.maximum(df, 1)) / np.log(max(2.0, total / limit)), 2.0)
+
 
+def frequencies(docs: DataFrame, cfg: Config) -> tuple[Idf, float]:
+    """idf by exact df, and the number of documents (2 at least)."""
+    in_buckets, total = bucket_counts(docs, cfg)
+    limit = max(1.0, in_buckets.sum() / FREQUENT)
+    heavy = in_buckets > limit
+    if not heavy.any():
+        return Idf(np.zeros(0, np.uint64), np.zeros(0)), total
+    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+
+    def run(it):
+        for rb in batches(it):
+            key = features(rb.column(0), cfg.k)[0]
+            token, n = np.unique(key[shared.value[bucket(key)]] & TOKEN, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n, pa.int64())], names=["token", "n"])
 
-def frequencies(docs: DataFrame, cfg: Config) -> np.ndarray:
-    """idf of every bucket."""
-    return rarity(*bucket_counts(docs, cfg))
+    # Fewer than FREQUENT rows by the definition of the limit.
+    rows = docs.select("text").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > limit).orderBy("token").toPandas()
+    return Idf(rows.token.to_numpy(np.int64).view(np.uint64), rarity(rows.n.to_numpy(float), total, limit)), total
 
 
 def bucket_counts(docs: DataFrame, cfg: Config) -> tuple[np.ndarray, float]:
@@ -106,40 +139,13 @@ def bucket_counts(docs: DataFrame, cfg: Config) -> tuple[np.ndarray, float]:
     return df, max(2.0, float(rows[rows.b < 0].n.sum()))
 
 
-def with_true_idf(docs: DataFrame, names: DataFrame, total: float, cfg: Config) -> DataFrame:
-    """node, text and the idf of its shingles, in the order of `features`, for the text hashes in names(node), by exact df."""
+def texts_of(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """node and text, once each, for the text hashes in names(node)."""
     texts = docs.select(F.xxhash64("text").alias("node"), "text").filter(id_test(names, "node")("node"))
-    texts = checkpointed(texts.join(names, "node", "left_semi").dropDuplicates(["node"]))
+    return checkpointed(texts.join(names, "node", "left_semi").dropDuplicates(["node"]))
 
-    def each(it):
-        for rb in batches(it):
-            key = features(rb.column(1), cfg.k)[0]
-            doc = (key >> np.uint64(48)).astype(np.int64)
-            first = np.searchsorted(doc, np.arange(rb.num_rows))
-            cols = [rb.column(0).take(pa.array(doc)), pa.array(np.arange(len(doc)) - first[doc], pa.int32()), pa.array((key & TOKEN).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, names=["node", "pos", "token"])
-
-    held = texts.select("node", "text").mapInArrow(each, "node bigint, pos int, token bigint")
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(held, "token", TOKEN_BITS))
-
-    def count(it):
-        for rb in batches(it):
-            token = features(rb.column(0), cfg.k)[0] & TOKEN
-            got, n = np.unique(token[in_bitmap(wanted.value, token)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(n, pa.int64())], names=["token", "n"])
-
-    df = docs.select("text").mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    counts = held.join(df, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("x"))
-    top = F.log(F.lit(total + 1))
-    idf = F.transform("x", lambda x: (1 + F.greatest(F.lit(0.0), F.log((total + 1) / (x["n"] + 1))) / top).cast("float"))
-    return checkpointed(texts.join(counts.select("node", idf.alias("idf")), "node").select("node", "text", "idf"))
 
-
-def true_weights(tf: np.ndarray, idf: pa.Array) -> np.ndarray:
-    return (1 + np.log(tf)) * idf.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-
-
-def samples(key: np.ndarray, tf: np.ndarray, idf: np.ndarray, n_docs: int, cfg: Config) -> np.ndarray:
+def samples(key: np.ndarray, tf: np.ndarray, idf: Idf, n_docs: int, cfg: Config) -> np.ndarray:
     """(bands * rows, documents) consistent weighted samples as 64-bit codes; documents without shingles have 0."""
     out = np.zeros((cfg.bands * cfg.rows, n_docs), np.uint64)
     if not len(key):
@@ -195,16 +201,16 @@ def signatures(docs: DataFrame, idf, cfg: Config) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, row bigint, node bigint, k1 bigint, k2 bigint, bands array<bigint>")
 
 
-def similarities(pairs: DataFrame, held: DataFrame, cfg: Config) -> DataFrame:
-    """The weighted Jaccard similarity of each pair (a, b), by the idf in held."""
-    side = lambda x: held.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"), F.col("idf").alias(f"idf_{x}"))
-    both = pairs.join(side("b"), "b").join(side("a").withColumnRenamed("text_a", "text"), "a")
+def similarities(pairs: DataFrame, held: DataFrame, idf, cfg: Config) -> DataFrame:
+    """The weighted Jaccard similarity of each pair (a, b) of nodes, by their texts in held."""
+    side = lambda x, text: held.select(F.col("node").alias(x), F.col("text").alias(text))
+    both = pairs.join(side("b", "text_b"), "b").join(side("a", "text"), "a")
 
     def run(it):
         for rb in batches(it):
             n = rb.num_rows
             (ka, ta, *_), (kb, tb, *_) = features(rb.column(2), cfg.k), features(rb.column(3), cfg.k)
-            wa, wb = true_weights(ta, rb.column(4)), true_weights(tb, rb.column(5))
+            wa, wb = weights(ka, ta, idf.value), weights(kb, tb, idf.value)
             row = lambda k: (k >> np.uint64(48)).astype(np.intp)
             _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
             least = np.bincount(row(ka[ia]), np.minimum(wa[ia], wb[ib]), n)
@@ -212,35 +218,35 @@ def similarities(pairs: DataFrame, held: DataFrame, cfg: Config) -> DataFrame:
             sim = np.where(union > 0, least / np.maximum(union, 1e-9), 0.0)
             yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(sim)], names=["a", "b", "similarity"])
 
-    return both.select("a", "b", "text", "text_b", "idf_a", "idf_b").mapInArrow(run, "a bigint, b bigint, similarity double")
+    return both.select("a", "b", "text", "text_b").mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
 def labelled(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     """doc_id, row, k1 (null without words), class_id, and the row that stands for the class: of its least id, then of the least hash."""
-    in_buckets, total = bucket_counts(docs, cfg)
-    idf = docs.sparkSession.sparkContext.broadcast(rarity(in_buckets, total))
+    found, n_docs = frequencies(docs, cfg)
+    idf, total = docs.sparkSession.sparkContext.broadcast(found), int(n_docs)
     sig = checkpointed(signatures(docs, idf, cfg))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row")).alias("least")
     equal = sig.filter("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("node").alias("node"), least, F.count("*").alias("n"), F.first("bands").alias("bands"))
     equal = checkpointed(equal)
     band = equal.select("node", F.posexplode("bands").alias("band", "bucket"))
     lead = band.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).filter("a < z").select("bucket", "a", "n")
-    full = checkpointed(spread_join(band, checkpointed(lead), ["bucket"], equal.count() * cfg.bands).drop("n"))
-    held = with_true_idf(docs, checkpointed(full.select("node").distinct()), total, cfg)
-    star = checkpointed(similarities(full.filter("node <> a").select("a", F.col("node").alias("b")).distinct(), held, cfg))
+    full = checkpointed(spread_join(band, checkpointed(lead), ["bucket"], total * cfg.bands).drop("n"))
+    held = texts_of(docs, checkpointed(full.select("node").distinct()))
+    star = checkpointed(similarities(full.filter("node <> a").select("a", F.col("node").alias("b")).distinct(), held, idf, cfg))
     links = star.filter(F.col("similarity") >= cfg.threshold).select("a", "b")
     comp = components(links)
     apart = _apart(full.join(star.withColumnRenamed("b", "node"), ["a", "node"], "left"), comp)
     if not apart.isEmpty():
-        pairs = checkpointed(_open_pairs(apart, equal.select("node", "bands"), held, cfg).join(star, ["a", "b"], "left_anti"))
-        more = checkpointed(similarities(pairs, held, cfg).filter(F.col("similarity") >= cfg.threshold).select("a", "b"))
+        pairs = checkpointed(_open_pairs(apart, equal.select("node", "bands"), held, idf, cfg).join(star, ["a", "b"], "left_anti"))
+        more = checkpointed(similarities(pairs, held, idf, cfg).filter(F.col("similarity") >= cfg.threshold).select("a", "b"))
         if not more.isEmpty():
             comp = components(links.unionByName(more))
     of = checkpointed(equal.select("node", "k1", "k2", "n", "least").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     first = checkpointed(of.groupBy("comp").agg(F.min("least").alias("least"), F.count("*").alias("n")))
-    named = spread_join(of.select("k1", "k2", F.col("n").alias("rows"), "comp"), first, ["comp"], of.count())
+    named = spread_join(of.select("k1", "k2", F.col("n").alias("rows"), "comp"), first, ["comp"], total)
     named = checkpointed(named.select("k1", "k2", F.col("rows").alias("n"), F.col("least.doc_id").alias("class_id"), F.col("least.row").alias("keeps")))
-    mine = spread_join(sig.filter("k1 IS NOT NULL").select("doc_id", "row", "k1", "k2"), named, ["k1", "k2"], sig.count())
+    mine = spread_join(sig.filter("k1 IS NOT NULL").select("doc_id", "row", "k1", "k2"), named, ["k1", "k2"], total)
     alone = sig.filter("k1 IS NULL").select("doc_id", "row", "k1", F.col("doc_id").alias("class_id"), F.col("row").alias("keeps"))
     return mine.select("doc_id", "row", "k1", "class_id", "keeps").unionByName(alone)
 
@@ -258,14 +264,14 @@ def _apart(full: DataFrame, comp: DataFrame) -> DataFrame:
     return checkpointed(of.join(split, "bucket").distinct())
 
 
-def _shared_weights(reps: DataFrame, texts: DataFrame, cfg: Config) -> DataFrame:
+def _shared_weights(reps: DataFrame, texts: DataFrame, idf, cfg: Config) -> DataFrame:
     """node, total weight, and the weight of shingles that it doesn't hold alone among reps."""
     texts = texts.join(reps, "node", "left_semi")
 
     def run(it):
         for rb in batches(it):
             key, tf, *_ = features(rb.column(1), cfg.k)
-            w, doc = true_weights(tf, rb.column(2)), (key >> np.uint64(48)).astype(np.int64)
+            w, doc = weights(key, tf, idf.value), (key >> np.uint64(48)).astype(np.int64)
             ids = rb.column(0)
             token = (key & np.uint64((1 << 48) - 1)).view(np.int64)
             # A row of each text's own carries its total; tokens have 48 bits, so no other has its sign.
@@ -280,14 +286,14 @@ def _shared_weights(reps: DataFrame, texts: DataFrame, cfg: Config) -> DataFrame
     return lone.groupBy("node").agg(F.nullif(F.max("total"), F.lit(0.0)).alias("total"), F.sum("w").alias("lone")).select("node", "total", (F.col("total") - F.col("lone")).alias("shared"))
 
 
-def _open_pairs(apart: DataFrame, reps: DataFrame, texts: DataFrame, cfg: Config) -> DataFrame:
+def _open_pairs(apart: DataFrame, reps: DataFrame, texts: DataFrame, idf, cfg: Config) -> DataFrame:
     """Pairs of a bucket in different classes that no bound rules out, each from the first bucket that it shares.
 
     Equal joins on the bucket and a slice of the similarity to its least member.
     """
     t, gap, slack = cfg.threshold, 1 - cfg.threshold + 1e-6, 1e-6
     names = checkpointed(apart.select("node").distinct())
-    held = reps.join(names, "node", "left_semi").join(_shared_weights(names, texts, cfg), "node", "left")
+    held = reps.join(names, "node", "left_semi").join(_shared_weights(names, texts, idf, cfg), "node", "left")
     held = held.filter(F.col("total").isNull() | (F.col("shared") >= t * F.col("total") - slack))
     now = checkpointed(apart.join(held, "node").withColumn("slice", F.floor(F.col("s") / gap)))
     cols = ["bucket", "slice", "band", "node", "comp", "s", "bands", "total", "shared"]

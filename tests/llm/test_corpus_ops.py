@@ -45,6 +45,10 @@ def weighted(texts, idf, k=5):
     return out
 
 
+def token_list(t):
+    return (near_dup.features(pa.array([t], pa.large_string()), 5)[0] & near_dup.TOKEN).tolist()
+
+
 def components_of(nodes, edges):
     up = {n: n for n in nodes}
 
@@ -83,8 +87,13 @@ def test_components(spark):
 def test_classes_equal_brute_force(spark, docs):
     texts = corpus()
     df = docs([(d, t, "en") for d, t in texts]).repartition(3)
-    idf = near_dup.frequencies(df, near_dup.Config())
-    assert 1 <= idf.min() and idf.max() <= 2.0001
+    idf, total = near_dup.frequencies(df, near_dup.Config())
+    assert total == len(texts) and 1 <= idf.value.min() and idf.value.max() <= 2
+    seen = Counter(x for _, t in texts for x in set(token_list(t)))
+    size = sum(seen.values())
+    limit = max(1.0, size / near_dup.FREQUENT)
+    frequent = {x: 1 + np.log(total / n) / np.log(max(2.0, total / limit)) for x, n in seen.items() if n > limit}
+    assert dict(zip(idf.token.tolist(), idf.value.tolist(), strict=True)) == pytest.approx(frequent)
     got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(df).collect()}
     want = brute_classes(texts, idf)
     lost = [d for d in want if got[d] != want[d]]
@@ -95,31 +104,26 @@ def test_classes_equal_brute_force(spark, docs):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
 
-def test_weights_of_compared_texts_are_by_true_df(spark, docs, monkeypatch):
-    monkeypatch.setattr(near_dup, "bucket", lambda key: np.zeros(len(key), np.intp))  # all shingles collide, as on a large corpus
+def test_weights_do_not_depend_on_colliding_buckets(docs, monkeypatch):
+    """As on a corpus so large that every bucket is shared by many shingles: df, weights and classes stay the same."""
     rng = random.Random(9)
     common = prose(rng, 60)
-    one = prose(rng, 120) + common[:20]
-    other = one[:120] + common[40:]
-    texts = [(0, " ".join(one)), (1, " ".join(other))] + [(2 + i, " ".join(prose(rng, 60) + common)) for i in range(60)]
+    texts = [(i, " ".join(prose(rng, 60) + common)) for i in range(60)] + corpus()[:80]
+    texts = [(i, t) for i, (_, t) in enumerate(texts)]
     df = docs([(d, t, "en") for d, t in texts]).repartition(2)
-    name = {r["doc_id"]: r["node"] for r in df.select("doc_id", F.xxhash64("text").alias("node")).collect()}
-    names = spark.createDataFrame([(name[0],), (name[1],), (name[5],)], "node bigint")
-    of = {v: k for k, v in name.items()}
-    held = {of[r["node"]]: r for r in near_dup.with_true_idf(df, names, float(len(texts)), near_dup.Config()).collect()}
-    seen = Counter()
-    token = lambda t: (near_dup.features(pa.array([t], pa.large_string()), 5)[0]).tolist()
-    for _, t in texts:
-        seen.update(token(t))
-    assert set(held) == {0, 1, 5}
-    for d, r in held.items():
-        want = near_dup.rarity(np.array([seen[x] for x in token(texts[d][1])], float), float(len(texts)))
-        assert np.allclose(r["idf"], want, atol=1e-6)
-    pair = spark.createDataFrame([(name[0], name[1])], "a bigint, b bigint")
-    true = near_dup.similarities(pair, near_dup.with_true_idf(df, names, float(len(texts)), near_dup.Config()), near_dup.Config()).first()["similarity"]
-    flat = {d: dict.fromkeys(token(t), 1.0) for d, t in texts[:2]}
-    plain = len(flat[0].keys() & flat[1].keys()) / len(flat[0].keys() | flat[1].keys())
-    assert true > plain + 0.02  # rare shared shingles weigh more than passages that many hold
+    monkeypatch.setattr(near_dup, "FREQUENT", 1024)
+    true, _ = near_dup.frequencies(df, near_dup.Config())
+    want = {r["doc_id"]: r["class_id"] for r in near_dup.classes(df).collect()}
+    monkeypatch.setattr(near_dup, "bucket", lambda key: (key & np.uint64(15)).astype(np.intp))
+    got, _ = near_dup.frequencies(df, near_dup.Config())
+    assert 0 < len(true.token) < 1024 and got.token.tolist() == true.token.tolist() and np.allclose(got.value, true.value)
+    assert {r["doc_id"]: r["class_id"] for r in near_dup.classes(df).collect()} == want == brute_classes(texts, true)
+
+
+def test_weights_are_alike_at_every_size():
+    for n in (10**4, 10**7, 10**10):
+        got = near_dup.rarity(np.array([1, n / 1000, n / 10, n]), n, n * 250 / near_dup.FREQUENT)
+        assert np.allclose(got, [2, 2, 1 + np.log(10) / np.log(near_dup.FREQUENT / 250), 1])
 
 
 def test_classes_of_edge_tables(docs):
@@ -133,7 +137,7 @@ def test_samples_agree_as_often_as_weighted_jaccard():
     a = prose(rng, 400)
     b = [w if rng.random() > 0.03 else "y" + w for w in a]
     cfg = near_dup.Config(bands=32, rows=8)
-    idf = np.ones(1 << near_dup.DF_BITS, np.float32)
+    idf = near_dup.Idf(np.zeros(0, np.uint64), np.zeros(0))
     key, tf, *_ = near_dup.features(pa.array([" ".join(a), " ".join(b)]), 5)
     sig = near_dup.samples(key, tf, idf, 2, near_dup.Config(bands=25, rows=4))
     f = weighted([(0, " ".join(a)), (1, " ".join(b))], idf)
