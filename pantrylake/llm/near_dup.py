@@ -1,9 +1,10 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
 Words are lower-cased runs without white space; a shingle is five words (the whole text when it has fewer).  A
-shingle's weight is 1 + ln(its count in the text) times idf.  idf is 2 for shingles that few documents hold, and falls to 1
-for one that all hold: 1 + ln(N / df) / ln(N / limit), where a shingle is frequent if df is over limit, a 16,384th of the
-summed sizes of all documents' sets of shingles.  So at every corpus size frequent means held by the same share of documents
+shingle's weight is 1 + ln(its count in the text) times idf.  idf is 1.25 for shingles that few documents hold, and falls to 1
+for one that all hold: 1 + 0.25 * ln(N / df) / ln(N / limit), where a shingle is frequent if df is over limit, a 16,384th of the
+summed sizes of all documents' sets of shingles.  With so narrow a range a group of near copies doesn't fall apart because it
+is large and its shared shingles are frequent: a pair whose plain similarity is 5/6 or more is linked whatever their df.  So at every corpus size frequent means held by the same share of documents
 (about one in 65, if texts have 250 shingles), weights are the same, and fewer than 16,384 shingles are frequent.
 Their df is counted exactly; which may be frequent is told by counts in 2^18 hash buckets, which bound df from above.
 
@@ -40,6 +41,7 @@ from pantrylake.llm.graph import components
 
 DF_BITS = 18
 FREQUENT = 1 << 14  #: fewer shingles than this are frequent
+RARE = 1.25  #: idf of shingles that aren't frequent; the least is 1
 TOKEN = np.uint64((1 << 48) - 1)
 DRAWS = 1 << 16  #: of each variate; a shingle's three are drawn by different bits of its hash, so 2^48 triples in all
 LOW = np.uint64(DRAWS - 1)
@@ -76,13 +78,13 @@ def bucket(key: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Idf:
-    """Frequent shingles, sorted, and their idf; it is 2 for all others."""
+    """Frequent shingles, sorted, and their idf; it is RARE for all others."""
 
     token: np.ndarray
     value: np.ndarray
 
     def of(self, key: np.ndarray) -> np.ndarray:
-        out = np.full(len(key), 2.0)
+        out = np.full(len(key), RARE)
         if len(self.token):
             token = key & TOKEN
             at = np.minimum(np.searchsorted(self.token, token), len(self.token) - 1)
@@ -97,7 +99,7 @@ def weights(key: np.ndarray, tf: np.ndarray, idf: Idf) -> np.ndarray:
 
 def rarity(df: np.ndarray, total: float, limit: float) -> np.ndarray:
     """idf of shingles that df of total documents hold."""
-    return np.where(df > limit, 1 + np.log(total / np.maximum(df, 1)) / np.log(max(2.0, total / limit)), 2.0)
+    return np.where(df > limit, 1 + (RARE - 1) * np.log(total / np.maximum(df, 1)) / np.log(max(2.0, total / limit)), RARE)
 
 
 def frequencies(docs: DataFrame, cfg: Config) -> tuple[Idf, float]:

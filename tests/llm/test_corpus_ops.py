@@ -88,11 +88,11 @@ def test_classes_equal_brute_force(spark, docs):
     texts = corpus()
     df = docs([(d, t, "en") for d, t in texts]).repartition(3)
     idf, total = near_dup.frequencies(df, near_dup.Config())
-    assert total == len(texts) and 1 <= idf.value.min() and idf.value.max() <= 2
+    assert total == len(texts) and 1 <= idf.value.min() and idf.value.max() <= near_dup.RARE
     seen = Counter(x for _, t in texts for x in set(token_list(t)))
     size = sum(seen.values())
     limit = max(1.0, size / near_dup.FREQUENT)
-    frequent = {x: 1 + np.log(total / n) / np.log(max(2.0, total / limit)) for x, n in seen.items() if n > limit}
+    frequent = {x: 1 + (near_dup.RARE - 1) * np.log(total / n) / np.log(max(2.0, total / limit)) for x, n in seen.items() if n > limit}
     assert dict(zip(idf.token.tolist(), idf.value.tolist(), strict=True)) == pytest.approx(frequent)
     got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(df).collect()}
     want = brute_classes(texts, idf)
@@ -123,7 +123,16 @@ def test_weights_do_not_depend_on_colliding_buckets(docs, monkeypatch):
 def test_weights_are_alike_at_every_size():
     for n in (10**4, 10**7, 10**10):
         got = near_dup.rarity(np.array([1, n / 1000, n / 10, n]), n, n * 250 / near_dup.FREQUENT)
-        assert np.allclose(got, [2, 2, 1 + np.log(10) / np.log(near_dup.FREQUENT / 250), 1])
+        assert np.allclose(got, [near_dup.RARE, near_dup.RARE, 1 + (near_dup.RARE - 1) * np.log(10) / np.log(near_dup.FREQUENT / 250), 1])
+
+
+def test_a_group_of_near_copies_holds_together_however_large_it_is(docs):
+    rng = random.Random(13)
+    base = prose(rng, 150)
+    copies = [" ".join(base[:i] + [f"y{i}"] + base[i + 1 :]) for i in range(0, 150, 2)]
+    rows = [(i, t) for i, t in enumerate(copies)] + [(1000 + i, " ".join(prose(rng, 100))) for i in range(75)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(docs([(d, t, "en") for d, t in rows])).collect()}
+    assert {got[i] for i in range(len(copies))} == {0} and all(got[1000 + i] == 1000 + i for i in range(75))
 
 
 def test_classes_of_edge_tables(docs):
