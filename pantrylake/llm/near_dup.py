@@ -12,11 +12,12 @@ Jaccard similarity, by the same weights, is at least the threshold.  At a simila
 probability 0.9994 at every corpus size.
 
 Groups stay nearly linear: equal texts collapse to one node, named by its least 64-bit text hash; within a band's bucket
-all members are compared with the least one.  Where a bucket is left with members of different classes, those are compared
-further whose similarity isn't ruled out by an exact bound: one minus weighted Jaccard is a metric, so members whose
-similarities to a third differ by more than 1 - threshold are too far apart; and what a text alone holds (shingles that
-no other open text has) can't be shared with anyone.  So every pair that shares a bucket is compared, is in one class
-already, or is proven to be below the threshold.  Keys with very many rows (copies of one text, one large class) are
+all members are compared with the least one.  Where a bucket is left with members of different classes, they are compared
+with its centre, the member that holds the least share alone, and then those with each other whose similarity isn't ruled
+out by an exact bound: one minus weighted Jaccard is a metric, so members whose similarities to a third differ by more
+than 1 - threshold are too far apart; what a text alone holds (shingles that no other open text has) can't be shared with
+anyone; and in each of 64 groups of shingles two texts share at most the lesser of their weights.  So every pair that
+shares a bucket is compared, is in one class already, or is proven to be below the threshold.  Keys with very many rows (copies of one text, one large class) are
 joined by broadcast, of which there are boundedly many (`spread_join`).
 
 Edge cases: a null, empty or white-space text is alone in its class; equal texts share a class whatever their length;
@@ -41,6 +42,7 @@ from pantrylake.llm.graph import components
 DF_BITS = 18
 FREQUENT = 1 << 14  #: fewer shingles than this are frequent
 TOKEN = np.uint64((1 << 48) - 1)
+GROUPS = 64  #: of shingles, by hash, in the bound on what two texts share
 DRAWS = 1 << 16  #: of each variate; a shingle's three are drawn by different bits of its hash, so 2^48 triples in all
 LOW = np.uint64(DRAWS - 1)
 
@@ -236,9 +238,16 @@ def labelled(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     star = checkpointed(similarities(full.filter("node <> a").select("a", F.col("node").alias("b")).distinct(), held, idf, cfg))
     links = star.filter(F.col("similarity") >= cfg.threshold).select("a", "b")
     comp = components(links)
-    apart = _apart(full.join(star.withColumnRenamed("b", "node"), ["a", "node"], "left"), comp)
+    near = F.coalesce("similarity", F.lit(1.0)).alias("s")
+    apart = _apart(full.join(star.withColumnRenamed("b", "node"), ["a", "node"], "left").select("band", "bucket", "node", near), comp)
     if not apart.isEmpty():
-        pairs = checkpointed(_open_pairs(apart, equal.select("node", "bands"), held, idf, cfg).join(star, ["a", "b"], "left_anti"))
+        shared = checkpointed(_shared_weights(checkpointed(apart.select("node").distinct()), held, idf, cfg))
+        again = checkpointed(_to_centres(apart, shared, star, held, idf, cfg, total * cfg.bands))
+        star = star.unionByName(again).select("a", "b")
+        links = links.unionByName(again.filter(F.col("similarity") >= cfg.threshold).select("a", "b"))
+        comp = components(links)
+        apart = _apart(apart.drop("comp"), comp)
+        pairs = checkpointed(_open_pairs(apart, equal.select("node", "bands"), shared, cfg).join(star, ["a", "b"], "left_anti"))
         more = checkpointed(similarities(pairs, held, idf, cfg).filter(F.col("similarity") >= cfg.threshold).select("a", "b"))
         if not more.isEmpty():
             comp = components(links.unionByName(more))
@@ -258,52 +267,71 @@ def classes(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 def _apart(full: DataFrame, comp: DataFrame) -> DataFrame:
     """band, bucket, node, s (similarity to the bucket's least member) and comp, of buckets that hold several classes."""
-    of = full.join(comp, "node", "left")
-    of = of.select("band", "bucket", "node", F.coalesce("similarity", F.lit(1.0)).alias("s"), F.coalesce("comp", "node").alias("comp"))
+    of = full.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     split = of.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("bucket")
     return checkpointed(of.join(split, "bucket").distinct())
 
 
+def _to_centres(apart: DataFrame, shared: DataFrame, star: DataFrame, held: DataFrame, idf, cfg: Config, total: int) -> DataFrame:
+    """Similarities of the members of each bucket to its centre, the one that holds the least share alone, but for pairs in star."""
+    share = apart.select("bucket", "node").join(shared.select("node", (F.col("shared") / F.col("total")).alias("share")), "node")
+    centre = share.groupBy("bucket").agg(F.max(F.struct("share", "node")).alias("best"), F.count("*").alias("n"))
+    centre = checkpointed(centre.select("bucket", F.col("best.node").alias("centre"), "n"))
+    both = spread_join(apart.select("bucket", "node"), centre, ["bucket"], total).filter("node <> centre")
+    pairs = both.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    return similarities(checkpointed(pairs.join(star, ["a", "b"], "left_anti")), held, idf, cfg)
+
+
 def _shared_weights(reps: DataFrame, texts: DataFrame, idf, cfg: Config) -> DataFrame:
-    """node, total weight, and the weight of shingles that it doesn't hold alone among reps."""
+    """node, its total weight, and the weight of shingles that other reps hold too, in all and by GROUPS groups of shingles."""
     texts = texts.join(reps, "node", "left_semi")
 
     def run(it):
         for rb in batches(it):
             key, tf, *_ = features(rb.column(1), cfg.k)
-            w, doc = weights(key, tf, idf.value), (key >> np.uint64(48)).astype(np.int64)
-            ids = rb.column(0)
-            token = (key & np.uint64((1 << 48) - 1)).view(np.int64)
-            # A row of each text's own carries its total; tokens have 48 bits, so no other has its sign.
-            own = ids.to_numpy(zero_copy_only=False).astype(np.int64) | np.int64(-(1 << 63))
-            total = np.bincount(doc, w, rb.num_rows)
-            cols = [pa.array(np.concatenate([token, own])), pa.concat_arrays([ids.take(pa.array(doc)), ids]), pa.array(np.concatenate([w, np.zeros(len(own))])), pa.array(np.concatenate([np.zeros(len(w)), total]))]
-            yield pa.RecordBatch.from_arrays(cols, names=["token", "node", "w", "total"])
-
-    rows = texts.mapInArrow(run, "token bigint, node bigint, w double, total double")
-    lone = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("w").alias("w"), F.max("total").alias("total")).filter("n = 1")
-    # Without a total (two names that differ in their sign alone) nothing is ruled out.
-    return lone.groupBy("node").agg(F.nullif(F.max("total"), F.lit(0.0)).alias("total"), F.sum("w").alias("lone")).select("node", "total", (F.col("total") - F.col("lone")).alias("shared"))
-
-
-def _open_pairs(apart: DataFrame, reps: DataFrame, texts: DataFrame, idf, cfg: Config) -> DataFrame:
+            node = rb.column(0).take(pa.array((key >> np.uint64(48)).astype(np.int64)))
+            token = (key & TOKEN).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(token), node, pa.array(weights(key, tf, idf.value))], names=["token", "node", "w"])
+
+    def by_group(it):
+        for rb in batches(it):
+            key, tf, *_ = features(rb.column(1), cfg.k)
+            n = rb.num_rows
+            place = (key >> np.uint64(48)).astype(np.int64) * GROUPS + (key & np.uint64(GROUPS - 1)).astype(np.int64)
+            w = np.bincount(place, weights(key, tf, idf.value), n * GROUPS)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * GROUPS, pa.int32()), pa.array(w))
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(w.reshape(n, GROUPS).sum(1)), lists], names=["node", "total", "held"])
+
+    rows = texts.mapInArrow(run, "token bigint, node bigint, w double")
+    lone = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("w").alias("w")).filter("n = 1")
+    lone = lone.groupBy("node", F.col("token").bitwiseAND(GROUPS - 1).alias("g")).agg(F.sum("w").alias("w"))
+    lone = lone.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("g", "w"))).alias("lone"))  # GROUPS at most
+    both = texts.mapInArrow(by_group, "node bigint, total double, held array<double>").join(lone, "node", "left")
+    less = lambda x, g: x - F.coalesce(F.element_at("lone", g.cast("long")), F.lit(0.0))
+    both = both.select("node", "total", F.transform("held", less).alias("groups"))
+    return both.withColumn("shared", F.aggregate("groups", F.lit(0.0), lambda x, y: x + y))
+
+
+def _open_pairs(apart: DataFrame, reps: DataFrame, shared: DataFrame, cfg: Config) -> DataFrame:
     """Pairs of a bucket in different classes that no bound rules out, each from the first bucket that it shares.
 
-    Equal joins on the bucket and a slice of the similarity to its least member.
+    Equal joins on the bucket and a slice of the similarity to its least member.  What two texts share is at most the sum
+    over groups of shingles of the lesser weight there, without shingles that a text holds alone: members of a large
+    group of near copies lack different shingles of their common text, which this bound sees.
     """
     t, gap, slack = cfg.threshold, 1 - cfg.threshold + 1e-6, 1e-6
-    names = checkpointed(apart.select("node").distinct())
-    held = reps.join(names, "node", "left_semi").join(_shared_weights(names, texts, idf, cfg), "node", "left")
-    held = held.filter(F.col("total").isNull() | (F.col("shared") >= t * F.col("total") - slack))
+    held = shared.filter(F.col("shared") >= t * F.col("total") - slack).join(reps, "node")
     now = checkpointed(apart.join(held, "node").withColumn("slice", F.floor(F.col("s") / gap)))
-    cols = ["bucket", "slice", "band", "node", "comp", "s", "bands", "total", "shared"]
+    cols = ["bucket", "slice", "band", "node", "comp", "s", "bands", "total", "shared", "groups"]
     one = now.select(*[F.col(c).alias(c if c in ("bucket", "slice") else f"{c}_a") for c in cols])
     near = F.explode(F.array(F.col("slice") - 1, F.col("slice"), F.col("slice") + 1)).alias("slice")
     two = now.select("bucket", near, *[F.col(c).alias(f"{c}_b") for c in cols[3:]])
     first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.col("band_a") + 1
-    room = F.coalesce(F.least("shared_a", "shared_b") >= t / (1 + t) * (F.col("total_a") + F.col("total_b")) - slack, F.lit(True))
+    need = t / (1 + t) * (F.col("total_a") + F.col("total_b")) - slack
+    room = F.least("shared_a", "shared_b") >= need
+    common = F.aggregate(F.zip_with("groups_a", "groups_b", lambda x, y: F.least(x, y)), F.lit(0.0), lambda x, y: x + y) >= need
     apart_ = (F.col("comp_a") != F.col("comp_b")) & (F.col("node_a") < F.col("node_b")) & (F.abs(F.col("s_a") - F.col("s_b")) <= gap)
-    return one.join(two, ["bucket", "slice"]).filter(apart_ & room & first).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    return one.join(two, ["bucket", "slice"]).filter(apart_ & room & common & first).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
