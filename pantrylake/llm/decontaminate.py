@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pantrylake.llm.common import batches
+
 
 @dataclass(frozen=True)
 class Config:
@@ -181,7 +183,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, cfg: Config = Confi
 
         def run(it, shared=shared, at=at, name=uuid4().hex):
             m = kept_matcher(name, shared.value, cfg.rate)
-            for rb in it:
+            for rb in batches(it):
                 clean = [not m.find(padded(t)) for t in normalised(rb.column(at)).to_pylist()]
                 yield rb.filter(pa.array(clean, pa.bool_()))
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pantrylake.llm.common import crc_mod, utf8
+from pantrylake.llm.common import batches, crc_mod, utf8
 
 UNKNOWN = "und"
 STEP = 16  #: windows that go through the network together; their activations stay in the cache
@@ -202,7 +202,7 @@ def identify(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     shared = model_of(docs, cfg)
 
     def run(it):
-        for rb in it:
+        for rb in batches(it):
             pred, score = shared.value.predict(rb.column(1))
             yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(2), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -216,7 +216,7 @@ def keep_known(docs: DataFrame, cfg: Config = Config(), min_score: float = 0.3)
     text, lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(it):
-        for rb in it:
+        for rb in batches(it):
             pred, score = shared.value.predict(rb.column(text))
             filled = pc.coalesce(rb.column(lang), pa.array(pred, rb.column(lang).type))
             out = pa.RecordBatch.from_arrays([filled if i == lang else c for i, c in enumerate(rb.columns)], names=rb.schema.names)

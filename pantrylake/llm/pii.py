@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pantrylake.llm.common import batches
+
 BASE = ("email", "ip", "card", "phone")
 LOOSE = ("email_like", "ip_like", "card_like", "phone_like", "national_id")
 KINDS = (*BASE, *LOOSE)
@@ -267,7 +269,7 @@ def redact(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
         return "".join([*out, text[last:]]) if out else text
 
     def run(it):
-        for rb in it:
+        for rb in batches(it):
             text = pa.array([cover(t) for t in rb.column(at).to_pylist()], rb.column(at).type)
             yield pa.RecordBatch.from_arrays([text if i == at else c for i, c in enumerate(rb.columns)], names=rb.schema.names)
 
