@@ -57,6 +57,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files that no DataFrame needs any more, as after a checkpoint.
+
+    It does so when the driver's JVM collects their handles, which in a run of many small shuffles may be long after.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """64-bit finaliser, in place."""
     h ^= h >> np.uint64(30)

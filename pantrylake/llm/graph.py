@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pantrylake.llm.common import checkpointed
+from pantrylake.llm.common import checkpointed, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,4 +33,6 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or now[0] == 0:
             break
         before = now
+        del both, least, large, root, small
+        release(pairs.sparkSession)
     return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).unionByName(pairs.select(F.col("lo").alias("node"), F.col("lo").alias("comp")).distinct())

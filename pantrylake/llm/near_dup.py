@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pantrylake.llm.common import batches, checkpointed, fresh, id_test, mix, shingles, spread_join, utf8, words_of
+from pantrylake.llm.common import batches, checkpointed, fresh, id_test, mix, release, shingles, spread_join, utf8, words_of
 from pantrylake.llm.graph import components
 
 DF_BITS = 18
@@ -236,6 +236,7 @@ def labelled(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     full = checkpointed(spread_join(band, checkpointed(lead), ["bucket"], total * cfg.bands).drop("n"))
     held = texts_of(docs, checkpointed(full.select("node").distinct()))
     star = checkpointed(similarities(full.filter("node <> a").select("a", F.col("node").alias("b")).distinct(), held, idf, cfg))
+    release(docs.sparkSession)
     links = star.filter(F.col("similarity") >= cfg.threshold).select("a", "b")
     comp = components(links)
     near = F.coalesce("similarity", F.lit(1.0)).alias("s")
@@ -251,6 +252,7 @@ def labelled(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
         more = checkpointed(similarities(pairs, held, idf, cfg).filter(F.col("similarity") >= cfg.threshold).select("a", "b"))
         if not more.isEmpty():
             comp = components(links.unionByName(more))
+    release(docs.sparkSession)
     of = checkpointed(equal.select("node", "k1", "k2", "n", "least").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     first = checkpointed(of.groupBy("comp").agg(F.min("least").alias("least"), F.count("*").alias("n")))
     named = spread_join(of.select("k1", "k2", F.col("n").alias("rows"), "comp"), first, ["comp"], total)
