@@ -11,31 +11,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pantrylake.llm import decontaminate, language_id, near_dup, piece_codec, pii
-from pantrylake.llm.common import checkpointed, table
+from pantrylake.llm.common import checkpointed, shrink_executors, table
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go."""
+    shrink_executors(spark)
     return language_id.keep_known(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays."""
+    shrink_executors(spark)
     return near_dup.keep_one(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    shrink_executors(spark)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind."""
+    shrink_executors(spark)
     return pii.redact(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each remaining document as piece ids."""
+    shrink_executors(spark)
     return piece_codec.encode(docs)
 
 

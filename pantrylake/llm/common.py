@@ -6,6 +6,11 @@ documents and a very long document is only one more slice.  Null texts count as
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable
+from contextlib import suppress
+from typing import Any
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -65,6 +70,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def shrink_executors(spark: SparkSession) -> None:
+    """Lets executors collect garbage and give their heaps' free memory back, which a JVM keeps after a stage that needed it.
+
+    A short task for each core; it is a wish that a JVM may ignore, and changes no result.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("x")).write.format("noop").mode("overwrite").save()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """64-bit finaliser, in place."""
     h ^= h >> np.uint64(30)
@@ -175,12 +189,39 @@ def shingles(words: np.ndarray, woff: np.ndarray, k: int) -> tuple[np.ndarray, n
     return out, doc
 
 
-def batches(it, chunk_bytes: int = CHUNK_BYTES):
-    """Record batches cut into slices of about chunk_bytes of the `text` column."""
+_kept: dict[str, Any] = {}
+
+
+def trim() -> None:
+    """Gives memory that this process no longer uses back to the system, where the allocators can."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """What this worker process made under that name in an earlier task, or makes now; it keeps a single one."""
+    if name not in _kept:
+        _kept.clear()
+        trim()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def batches(it, chunk_bytes: int = CHUNK_BYTES, keeps: str | None = None):
+    """Record batches cut into slices of about chunk_bytes of the `text` column.
+
+    Workers outlive a query: what one kept under another name than `keeps` is let go of first, and free memory is
+    given back at the end.
+    """
+    if any(name != keeps for name in _kept):
+        _kept.clear()
+        trim()
     for rb in it:
         _, off = utf8(rb.column(rb.schema.get_field_index("text")))
         for i, j in chunks(off, chunk_bytes):
             yield rb.slice(i, j - i)
+    trim()
 
 
 ID_BITS = 23

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pantrylake.llm.common import batches
+from pantrylake.llm.common import batches, kept
 
 
 @dataclass(frozen=True)
@@ -132,15 +132,9 @@ class Matcher:
         return out
 
 
-_kept: dict[str, Matcher] = {}
-
-
 def kept_matcher(name: str, items: list[tuple[int, str]], rate: float) -> Matcher:
     """This worker's matcher of that name; a new name drops the old one."""
-    if name not in _kept:
-        _kept.clear()
-        _kept[name] = Matcher(items, rate)
-    return _kept[name]
+    return kept(name, lambda: Matcher(items, rate))
 
 
 def blocks(benchmark: DataFrame, cfg: Config):
@@ -183,7 +177,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, cfg: Config = Confi
 
         def run(it, shared=shared, at=at, name=uuid4().hex):
             m = kept_matcher(name, shared.value, cfg.rate)
-            for rb in batches(it):
+            for rb in batches(it, keeps=name):
                 clean = [not m.find(padded(t)) for t in normalised(rb.column(at)).to_pylist()]
                 yield rb.filter(pa.array(clean, pa.bool_()))
 

@@ -54,7 +54,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(it):
         enc, dec = kept_encoder(name, shared.value), Decoder(shared.value)
-        for rb in batches(it, SLICE):
+        for rb in batches(it, SLICE, keeps=name):
             texts = rb.column(1).to_pylist()
             ids, off = encode_batch(enc, texts)
             same = [b == (t or "").replace(MARK, " ").encode() for b, t in zip(dec.batch(ids, off), texts, strict=True)]

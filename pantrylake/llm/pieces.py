@@ -21,6 +21,8 @@ from itertools import chain
 
 import numpy as np
 
+from pantrylake.llm.common import kept
+
 MARK = "▁"
 SEGMENT = re.compile("[ ▁]*[^ ▁]+|[ ▁]+")
 START, NONE = -1, -2
@@ -429,12 +431,6 @@ class Encoder:
         return (parts[0] if parts else np.zeros(0, np.int32)), np.cumsum(n) - n, n
 
 
-_kept: dict[str, Encoder] = {}
-
-
 def kept_encoder(name: str, pieces: Pieces) -> Encoder:
     """This process's encoder of that name, with what it has learnt in earlier tasks; a new name drops the old one."""
-    if name not in _kept:
-        _kept.clear()
-        _kept[name] = Encoder(pieces)
-    return _kept[name]
+    return kept(name, lambda: Encoder(pieces))

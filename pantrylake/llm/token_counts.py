@@ -61,7 +61,7 @@ def _run(docs: DataFrame, path: str, schema: str, make) -> DataFrame:
 
     def run(it):
         enc = kept_encoder(name, shared.value)
-        for rb in batches(it, SLICE):
+        for rb in batches(it, SLICE, keeps=name):
             text = rb.column(1)
             counts, off = prefix_table(enc, text.to_pylist())
             yield make(rb.column(0), text, counts, off)

@@ -359,3 +359,14 @@ def test_an_automaton_is_built_once_a_worker():
     items = [(1, "one item text"), (2, "another item text")]
     m = decontaminate.kept_matcher("a", items, 0.05)
     assert decontaminate.kept_matcher("a", items, 0.05) is m and decontaminate.kept_matcher("b", items, 0.05) is not m
+
+
+def test_workers_let_go_of_what_another_operator_kept():
+    rb = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some text"]})
+    m = decontaminate.kept_matcher("a", [(1, "a benchmark item")], 0.05)
+    assert len(list(common.batches([rb], keeps="a"))) == 1 and common._kept == {"a": m}
+    assert len(list(common.batches([rb]))) == 1 and not common._kept
+
+
+def test_stages_ask_executors_to_give_memory_back(spark):
+    common.shrink_executors(spark)
